@@ -45,15 +45,15 @@ def _probes(bins: int, seed: int = 42) -> list[list[int]]:
 
 
 def fingerprint(df: DataFrame, text: Column, to: str, *, bins: int = BINS, bits: int = BITS, width: int = WIDTH) -> DataFrame:
-    """``df`` with the column ``to``: one hexadecimal digit (``bits`` = 4) for each bin.
+    """``df`` with the column ``to``: an array of the ``bits`` low-order bits of each bin.
 
     A hash falls in the bin of its high-order bits, and the least hash of a bin is kept. One odd number per bin,
     above all hashes of it (they are even), marks its end: after sorting hashes and marks together, the first of
     each bin is its minimum, or its mark if the bin is empty. Empty bins copy the minimum of the first filled bin in
     their own probe order. Texts without words have one fixed hash, so they have equal fingerprints.
     """
-    if bits != 4 or bins & (bins - 1):
-        raise ValueError("bins is a power of two, and bits is 4")
+    if not 1 <= bits <= 7 or bins & (bins - 1):
+        raise ValueError("bins is a power of two, and bits is from 1 to 7")
     shift = 64 - (bins.bit_length() - 1)
     marks = [((b - bins // 2) << shift) + (1 << shift) - 1 for b in range(bins)]
     marks_ = F.array(*[F.lit(m).cast("long") for m in marks])
@@ -74,24 +74,21 @@ def fingerprint(df: DataFrame, text: Column, to: str, *, bins: int = BINS, bits:
             return F.when(filled(v), v).otherwise(F.coalesce(*[F.when(filled(t), t) for t in tries], last))
 
         # The bits above the lowest (which is always clear), below those that name the bin.
-        return F.transform(x, lambda v, i: F.lower(F.hex(F.shiftright(one(v, i), 1).bitwiseAND(F.lit((1 << bits) - 1)))))
+        return F.transform(x, lambda v, i: F.shiftright(one(v, i), 1).bitwiseAND(F.lit((1 << bits) - 1)).cast("tinyint"))
 
-    return df.withColumn(to, F.array_join(F.flatten(F.transform(firsts, dense)), ""))
+    return df.withColumn(to, F.flatten(F.transform(firsts, dense)))
 
 
-def likeness(a: Column, b: Column, *, bins: int = BINS, bits: int = BITS) -> Column:
-    """Jaccard similarity that two fingerprints stand for: agreeing digits, less those that agree by chance.
+def digits(fp: Column) -> Column:
+    """A fingerprint as text: one hexadecimal digit for each bin."""
+    return F.array_join(F.transform(fp, lambda v: F.substring(F.lit("0123456789abcdef"), v.cast("int") + 1, F.lit(1))), "")
 
-    Digits are compared eight at a time: the bits of each differing digit are folded into its lowest one and counted.
-    """
-    differ = F.lit(0)
-    for at in range(1, bins + 1, 8):
-        x = F.conv(F.substring(a, at, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(b, at, 8), 16, 10).cast("long"))
-        fold = F.array(F.struct(x.alias("x")))
-        fold = F.transform(fold, lambda y: y["x"].bitwiseOR(F.shiftright(y["x"], 1)).bitwiseOR(F.shiftright(y["x"], 2)).bitwiseOR(F.shiftright(y["x"], 3)))
-        differ = differ + F.bit_count(F.element_at(fold, 1).bitwiseAND(F.lit(0x11111111)))
+
+def likeness(a: Column, b: Column, *, bits: int = BITS) -> Column:
+    """Jaccard similarity that two fingerprints stand for: agreeing bins, less those that agree by chance."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
     chance = 2.0**-bits
-    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), (1 - differ / bins - chance) / (1 - chance)))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), (same / F.size(a) - chance) / (1 - chance)))
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -132,7 +129,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
     docs = fingerprint(docs, F.col("edited"), "edited_fingerprint")
     return docs.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        digits(F.col("fingerprint")).alias("fingerprint"), digits(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
