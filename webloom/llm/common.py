@@ -47,3 +47,8 @@ def fold(doc_id: str, mod: int) -> Column:
 def small_side(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most_rows`` rows, else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
+    """Batches of texts that go to Python hold so many rows, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -56,12 +56,12 @@ def fingerprint(df: DataFrame, text: Column, to: str, *, bins: int = BINS, bits:
         raise ValueError("bins is a power of two, and bits is from 1 to 7")
     shift = 64 - (bins.bit_length() - 1)
     marks = [((b - bins // 2) << shift) + (1 << shift) - 1 for b in range(bins)]
-    marks_ = F.array(*[F.lit(m).cast("long") for m in marks])
+    marks_ = F.expr(f"array({', '.join(f'{m}L' for m in marks)})")
     firsts = F.transform(
         F.array(F.struct(F.sort_array(F.concat(shingle_hashes(text, width), marks_)).alias("a"))),
         lambda x: F.filter(x["a"], lambda v, i: (i == 0) | (F.shiftright(v, shift) != F.shiftright(F.element_at(x["a"], F.greatest(i, F.lit(1))), shift))),
     )
-    order = F.array(*[F.array(*[F.lit(p) for p in row[:PROBES]]) for row in _probes(bins)])
+    order = F.expr(f"array({', '.join(f'array({", ".join(map(str, row[:PROBES]))})' for row in _probes(bins))})")
 
     def filled(v: Column) -> Column:
         return v.bitwiseAND(F.lit(1)) == 0
