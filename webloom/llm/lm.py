@@ -119,12 +119,13 @@ def _at_most(counts: DataFrame, most: int) -> int:
 def trie(nodes: list[tuple[np.ndarray, np.ndarray]]) -> dict:
     """The model from the (key, count) of each order, keys sorted: everything that does not depend on the text.
 
-    A byte seen n times in a context of T bytes of q kinds has n / (T + q) there, and the escape to the next shorter
-    context has q / (T + q) (method C). Bytes that a longer context has seen are excluded in a shorter one: what is
+    A byte seen n times in a context of T bytes of q kinds has (2n - 1) / 2T there, and the escape to the next shorter
+    context has q / 2T (method D); with twice each count, less one, for a count, that is n / (T + q) and q / (T + q). Bytes that a longer context has seen are excluded in a shorter one: what is
     left of T and q after that hangs on the longer context, and is kept with it.
     """
     orders = []
     for k, (key, n) in enumerate(nodes):
+        n = 2 * n - 1
         ctx, first = np.unique(key >> 8, return_index=True)
         total = np.add.reduceat(n, first) if len(n) else n
         kinds = np.diff(np.r_[first, len(key)])

@@ -43,10 +43,12 @@ def mix(
     share: float = 1.5,
     max_epochs: float = 2.0,
     seed: int = 42,
+    rows: bool = False,
 ) -> DataFrame:
     """How many words of each row of ``docs`` (doc_id, text, source) the mix takes.
 
-    Returns doc_id, source, size, source_size, target, copies (whole repetitions taken), taken = copies * size.
+    Returns doc_id, source, size, source_size, target, copies (whole repetitions taken), taken = copies * size; with
+    ``rows``, also row, a struct of all columns of ``docs``.
 
     Every document is taken floor(target / source_size) times. The fraction that is left is filled with documents
     in the order of a seeded hash, to the document nearest the target; so a source misses its target by half a
@@ -59,8 +61,9 @@ def mix(
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 12), 16, 10).cast("long")
-    sized = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), draw.alias("draw")), "mix")
-    sized = sized.withColumn("cell", F.shiftright("draw", 48 - CELL_BITS))
+    wide = docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), draw.alias("draw"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * rows)
+    cell = F.shiftright("draw", 48 - CELL_BITS)
+    sized = staged(wide.drop("row"), "mix").withColumn("cell", cell)
     cells = sized.groupBy("source", "cell").agg(F.sum("size").alias("words"))
     targets = source_targets(cells, weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -74,13 +77,13 @@ def mix(
         .select(F.col("source").alias("s_"), "source_size", "target", "whole", "rest", F.col("cut.cell").alias("cut_cell"), F.col("cut.under").alias("under"))
     )
     per = small_side(staged(per, "mix-sources"), MOST_SOURCES)
-    dealt = sized.join(per, F.col("source").eqNullSafe(F.col("s_")))
+    dealt = (wide.withColumn("cell", cell) if rows else sized).join(per, F.col("source").eqNullSafe(F.col("s_")))
     inside = F.coalesce(F.col("cell") == F.col("cut_cell"), F.lit(False))
     order = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     nearest = F.sum("size").over(order) + F.col("under") - F.col("size") / 2 <= F.col("rest")
     split = dealt.where(inside).withColumn("more", nearest.cast("long"))
     plain = dealt.where(~inside).withColumn("more", F.coalesce(F.col("cell") < F.col("cut_cell"), F.lit(False)).cast("long"))
-    return plain.unionByName(split).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more")).alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return plain.unionByName(split).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more")).alias("copies"), *["row"] * rows).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
