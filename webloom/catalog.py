@@ -2,5 +2,419 @@
 
 from __future__ import annotations
 
-QUERIES = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webloom.functions import text as tx
+from webloom.functions import urls
+from webloom.operators import frontier, graph, neardup, recommend, retrieval, robots
+from webloom.plans import views
+from webloom.plans.views import EDGES, HOST, HREFS, LINKS, RATINGS, SPLIT, TOKENS, table
+from webloom.streaming import events as ev
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def put(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents")
+
+
+def _post(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.ascii_postings(_docs(s, d))
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+@query(f"with {TOKENS} select * from postings")
+def idx_term_frequency(s, d):
+    return _post(s, d)
+
+
+@query(f"with {TOKENS} select token, count(*) as df from postings group by token")
+def idx_document_frequency(s, d):
+    return _post(s, d).groupBy("token").agg(F.count("*").alias("df"))
+
+
+@query(f"with {TOKENS} select token, sum(tf)::bigint as cf from postings group by token")
+def idx_collection_frequency(s, d):
+    return _post(s, d).groupBy("token").agg(F.sum("tf").alias("cf"))
+
+
+@query(f"with {TOKENS} select doc_id, round(sqrt(sum(pow(1 + log10(tf), 2))), 6) as len from postings group by doc_id")
+def idx_doc_length(s, d):
+    return retrieval.doc_length(_post(s, d)).withColumn("len", r6("len"))
+
+
+@query(f"with {TOKENS}, n as (select count(*) as n from documents) select token, sum(tf)::bigint as cf, count(*) as df, round(any_value(n) / count(*), 6) as idf, round(ln(any_value(n) / count(*)), 6) as log_idf from postings, n group by token order by token limit 100")
+def idx_token_stats(s, d):
+    stats = retrieval.token_stats(_post(s, d), _docs(s, d).count()).orderBy("token").limit(100)
+    return stats.withColumns({"idf": r6("idf"), "log_idf": r6("log_idf")})
+
+
+UNICODE = r"utokens as (select doc_id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1)) as token from documents), upostings as (select doc_id, token, count(*) as tf from utokens group by 1, 2)"
+
+
+@query(f"with {UNICODE} select * from upostings")
+def idx_tokenize_unicode(s, d):
+    return retrieval.postings(_docs(s, d), tx.tokens_unicode(F.col("text")))
+
+
+@query(f"with {UNICODE}, v as (select distinct token from upostings) select count(*) as total, count(*) filter (where regexp_full_match(token, '[a-zæøå-]+')) as letters_dash, count(*) filter (where regexp_full_match(token, '[a-z]+')) as letters, count(*) filter (where regexp_full_match(token, '[a-z0-9]+')) as alnum from v")
+def idx_token_classes(s, d):
+    v = _docs(s, d).select(F.explode(tx.tokens_unicode(F.col("text"))).alias("token")).distinct()
+    one = lambda p: F.count_if(F.col("token").rlike(f"^{p}$"))
+    return v.agg(F.count("*").alias("total"), one("[a-zæøå-]+").alias("letters_dash"), one("[a-z]+").alias("letters"), one("[a-z0-9]+").alias("alnum"))
+
+
+@query(f"with {TOKENS} select * from postings where doc_id % 3 <> 0 union all select doc_id, token, tf * 2 as tf from postings where doc_id % 3 = 0")
+def idx_incremental_merge(s, d):
+    p = _post(s, d)
+    return retrieval.merge(p, p.where("doc_id % 3 = 0").withColumn("tf", F.col("tf") * 2))
+
+
+COSINE = f"""with {TOKENS}, n as (select count(*)::double as n from documents),
+q(token, clause) as (values ('that', 1), ('with', 1), ('une', 2)),
+df as (select token, count(*) as df from postings where token in (select token from q) group by token),
+len as (select doc_id, sqrt(sum(pow(1 + log10(tf), 2))) as len from postings group by doc_id),
+score as (select p.doc_id, sum((1 + log10(tf)) * log10(n / df) * log10(n / df) / sqrt(3.0)) as w from postings p join df using (token), n group by p.doc_id),
+met as (select doc_id, clause from postings join q using (token) group by 1, 2 having count(distinct token) = case clause when 1 then 2 else 1 end)
+select m.doc_id, round(w / len, 6) as score from met m join score using (doc_id) join len using (doc_id)"""
+
+
+@query(COSINE)
+def search_cosine_and_or(s, d):
+    out = retrieval.search_cosine(_post(s, d), "that with OR une", _docs(s, d).count())
+    return out.withColumn("score", r6("score"))
+
+
+@query(f"""with {UNICODE}, n as (select count(*)::double as n from documents),
+q(token, k) as (values ('that', 2), ('from', 1)),
+df as (select token, count(*) as df from upostings where token in (select token from q) group by token),
+norm as (select doc_id, sqrt(sum(pow(1 + log2(tf), 2))) as norm from upostings group by doc_id),
+w as (select doc_id, sum(k * (1 + log10(tf)) * (n / df) * (n / df)) as w from upostings join df using (token) join q using (token), n group by doc_id)
+select doc_id, round(w / norm / pow(3, 1.5), 6) as score from w join norm using (doc_id) order by w / norm desc, doc_id limit 50""")
+def search_ratio_top50(s, d):
+    p = retrieval.postings(_docs(s, d), tx.tokens_unicode(F.col("text")))
+    return retrieval.search_ratio(p, ["that", "from", "that"], _docs(s, d).count()).withColumn("score", r6("score"))
+
+
+def _with(word: str) -> str:
+    return f"select doc_id from upostings where token = '{word}'"
+
+
+def _sets(s, d, *names):
+    p = retrieval.postings(_docs(s, d), tx.tokens_unicode(F.col("text")))
+    return [retrieval.docs_with(p, w) for w in names]
+
+
+@query(f"with {UNICODE} {_with('that')} intersect {_with('from')}")
+def search_bool_and(s, d):
+    return retrieval.bool_and(*_sets(s, d, "that", "from"))
+
+
+@query(f"with {UNICODE} {_with('that')} union {_with('une')}")
+def search_bool_or(s, d):
+    return retrieval.bool_or(*_sets(s, d, "that", "une"))
+
+
+@query(f"with {UNICODE} {_with('that')} intersect ({_with('from')} union {_with('une')})")
+def search_bool_nested(s, d):
+    a, b, c = _sets(s, d, "that", "from", "une")
+    return retrieval.bool_and(a, retrieval.bool_or(b, c))
+
+
+WORDS = r"w as (select doc_id, text, list_filter(regexp_split_to_array(trim(text, E' \n\t\r'), '\s+'), lambda x: x <> '') as w from documents)"
+TAIL = WORDS + ", sh as (select doc_id, text, list_transform(range(len(w)), lambda i: array_to_string(w[i + 1 : i + 3], ' ')) as s from w)"
+
+
+@query(f"with {TAIL} select doc_id, md5(array_to_string(s, '|')) as digest, len(s)::int as n from sh")
+def dup_shingles_tail(s, d):
+    sh = tx.shingles_tail(F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")), 3)
+    return _docs(s, d).select("doc_id", F.md5(F.array_join(sh, "|").cast("binary")).alias("digest"), F.size(sh).alias("n"))
+
+
+@query("""with w as (select doc_id, string_split(replace(replace(text, '.', ''), ',', ''), ' ') as w from documents),
+sh as (select doc_id, list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' ') || ' ') as s from w)
+select doc_id, unnest(list_distinct(s)) as shingle from sh""")
+def dup_shingles_full(s, d):
+    return _docs(s, d).select("doc_id", F.explode(tx.shingles_full(F.col("text"), 3)).alias("shingle"))
+
+
+@query(f"""with {TAIL}, e as (select distinct doc_id, unnest(s) as s from sh), c as (select doc_id, count(*) as n from e group by 1),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as k from e a join e b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2)
+select a, b, round(k / (x.n + y.n - k), 6) as jaccard from i join c x on x.doc_id = a join c y on y.doc_id = b where k / (x.n + y.n - k) >= 0.8""")
+def dup_jaccard_pairs(s, d):
+    return neardup.jaccard_pairs(_docs(s, d), tx.shingles_tail(F.col("text"), 3), 0.8).withColumn("jaccard", r6("jaccard"))
+
+
+def _pairs(s, d):
+    a = _docs(s, d).select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    return a.join(a.select((F.col("a") - 1).alias("a"), F.col("ta").alias("tb")), "a")
+
+
+PAIR = f"with {TAIL}, p as (select x.doc_id as a, x.text as ta, x.s as sa, y.s as sb from sh x join sh y on y.doc_id = x.doc_id + 1)"
+SHORT = "(len(list_intersect(list_distinct(sa), list_distinct(sb))) / nullif(len(list_distinct(list_concat(sa, sb))), 0))"
+
+
+def _sketch_sql(x: str) -> str:
+    return f"[list_min(list_transform({x}, lambda v: md5(v))), list_min(list_transform({x}, lambda v: sha1(v))), list_min(list_transform({x}, lambda v: sha256(v)))]"
+
+
+@query(PAIR.replace("i + 3]", "i + 2]") + " select a, round(len(list_intersect(list_distinct(list_transform(sa, lambda v: ('0x' || md5(v)[:8])::bigint)), list_distinct(list_transform(sb, lambda v: ('0x' || md5(v)[:8])::bigint)))) / len(list_distinct(list_concat(list_transform(sa, lambda v: ('0x' || md5(v)[:8])::bigint), list_transform(sb, lambda v: ('0x' || md5(v)[:8])::bigint)))), 6) as jaccard from p")
+def dup_jaccard_hashed32(s, d):
+    h = lambda c: F.transform(tx.shingles_tail(F.col(c), 2), tx.hash32)
+    return _pairs(s, d).select("a", r6(tx.jaccard(h("ta"), h("tb"))).alias("jaccard"))
+
+
+@query(f"with {TAIL}, k as (select doc_id, {_sketch_sql('s')} as k from sh) select doc_id, k[1] as md5, k[2] as sha1, k[3] as sha256 from k")
+def dup_minhash_sketch(s, d):
+    k = tx.sketch(tx.shingles_tail(F.col("text"), 3))
+    return _docs(s, d).select("doc_id", k.alias("k")).select("doc_id", *[F.col("k")[i].alias(n) for i, n in enumerate(tx.FAMILY)])
+
+
+@query(PAIR + f", k as (select a, {_sketch_sql('sa')} as x, {_sketch_sql('sb')} as y from p) select a, round((case when x[1] = y[1] then 1 else 0 end + case when x[2] = y[2] then 1 else 0 end + case when x[3] = y[3] then 1 else 0 end) / 3, 6) as likeness from k")
+def dup_sketch_similarity(s, d):
+    sh = lambda c: tx.sketch(tx.shingles_tail(F.col(c), 3))
+    return _pairs(s, d).select("a", r6(tx.sketch_equal(sh("ta"), sh("tb"))).alias("likeness"))
+
+
+@query(PAIR + f", k as (select a, ta, sa, sb, {_sketch_sql('sa')} as x, {_sketch_sql('sb')} as y from p) select a, round(case when length(ta) < 100 then {SHORT} else (case when x[1] = y[1] then 1 else 0 end + case when x[2] = y[2] then 1 else 0 end + case when x[3] = y[3] then 1 else 0 end) / 3 end, 6) as score from k")
+def dup_dispatch(s, d):
+    return _pairs(s, d).select("a", r6(tx.near_dup_score(F.col("ta"), F.col("tb"))).alias("score"))
+
+
+@query(f"with {SPLIT} select user_id, round(avg(rating), 6) as mean from train group by 1")
+def rec_user_mean(s, d):
+    return recommend.user_mean(views.ratings_split(s, d)[1]).withColumn("mean", r6("mean"))
+
+
+SIM = """pairs as (select a.user_id as u, b.user_id as v, count(*) as n, sum(a.rating)::bigint sx, sum(b.rating)::bigint sy, sum(a.rating * b.rating)::bigint sxy, sum(a.rating * a.rating)::bigint sxx, sum(b.rating * b.rating)::bigint syy
+  from train a join train b on a.item_id = b.item_id and a.user_id {op} b.user_id group by 1, 2),
+sim as (select u, v, n, round((n * sxy - sx * sy)::double / nullif(sqrt((n * sxx - sx * sx)::double) * sqrt((n * syy - sy * sy)::double), 0), 6) as sim from pairs),
+simd as (select * from sim where sim is not null)"""
+NEAR = SPLIT + ", " + SIM.format(op="<>") + """, means as (select user_id, avg(rating) as mean from train group by 1),
+near as (select t.user_id, t.item_id, s.v, s.sim, r.rating, row_number() over (partition by t.user_id, t.item_id order by s.sim desc, s.v desc) as rank
+  from test t join train r on r.item_id = t.item_id join simd s on s.u = t.user_id and s.v = r.user_id),
+dev as (select near.user_id, item_id, sum(sim * (rating - m.mean)) / sum(sim) as dev from near join means m on m.user_id = v where rank <= 20 and sim > 0.5 group by 1, 2),
+pred as (select t.user_id, t.item_id, t.rating, m.mean + coalesce(dev, 0) as pred from test t join means m using (user_id) left join dev using (user_id, item_id))"""
+
+
+@query(f"with {SPLIT}, {SIM.format(op='<')} select u, v, n, sim from simd")
+def rec_pearson_pairs(s, d):
+    return recommend.pearson(views.ratings_split(s, d)[1])
+
+
+def _sim(s, d):
+    test, train = views.ratings_split(s, d)
+    return test, train, recommend.pearson(train, test.select("user_id").distinct())
+
+
+@query(f"with {NEAR} select user_id, item_id, v, sim, rating, rank from near where rank <= 20")
+def rec_topk_neighbours(s, d):
+    return recommend.neighbours(*_sim(s, d), 20).select("user_id", "item_id", "v", "sim", "rating", "rank")
+
+
+@query(f"with {NEAR} select user_id, item_id, rating, round(pred, 6) as pred from pred")
+def rec_predict(s, d):
+    return recommend.predict(*_sim(s, d)).withColumn("pred", r6("pred"))
+
+
+@query(f"with {NEAR} select round(sqrt(avg(pow(pred - rating, 2))), 6) as rmse, count(*) as n from pred")
+def rec_rmse(s, d):
+    return recommend.rmse(recommend.predict(*_sim(s, d))).withColumn("rmse", r6("rmse"))
+
+
+@query(f"""with {NEAR}, ks as (select unnest([5, 10, 20, 50, 100])::int as k), ts as (select unnest([0.2, 0.5, 0.8])::double as threshold), grid as (select * from ks, ts),
+gdev as (select near.user_id, item_id, k, threshold, sum(sim * (rating - m.mean)) / sum(sim) as dev from near join grid on rank <= k and sim > threshold join means m on m.user_id = v group by 1, 2, 3, 4)
+select k, threshold, round(sqrt(avg(pow(m.mean + coalesce(dev, 0) - t.rating, 2))), 6) as rmse from test t join means m using (user_id) cross join grid left join gdev using (user_id, item_id, k, threshold) group by 1, 2""")
+def rec_grid_rmse(s, d):
+    return recommend.grid_rmse(*_sim(s, d), [5, 10, 20, 50, 100], [0.2, 0.5, 0.8]).withColumn("rmse", r6("rmse"))
+
+
+@query(f"with {RATINGS} select *, case when row_number() over (partition by user_id order by item_id) between 1 and 10 then 'test' else 'base' end as part from ratings")
+def rec_split_allbut(s, d):
+    return recommend.split_allbut(views.ratings(s, d), 1, 10)
+
+
+@query(f"with {RATINGS} select *, ceil(row_number() over (order by user_id, item_id) * 5 / count(*) over ())::int as fold from ratings")
+def rec_split_folds(s, d):
+    return recommend.split_folds(views.ratings(s, d))
+
+
+@query(f"with {EDGES} select * from edges")
+def graph_edges(s, d):
+    return views.social_edges(s, d)
+
+
+@query(f"with {EDGES} select src, count(*) as degree from edges group by 1 order by 2 desc, 1 limit 20")
+def graph_degree_top20(s, d):
+    return graph.degrees(views.social_edges(s, d)).orderBy(F.desc("degree"), "src").limit(20)
+
+
+@query(f"with {EDGES} select src as i, src as j, count(*)::double as v from edges group by 1 union all select src, dst, -1.0::double from edges")
+def graph_laplacian(s, d):
+    return graph.laplacian(views.social_edges(s, d))
+
+
+def _paths(sources: str) -> str:
+    return f"""with recursive {EDGES}, sources as ({sources}),
+walk as (select id as source, id, 0 as hops from sources union select source, dst, hops + 1 from walk join edges on src = id where hops < 60),
+best as (select source, id, min(hops) as hops from walk group by 1, 2),
+pred as (select b.source, b.id, min(e.src) as pred from best b join edges e on e.dst = b.id join best p on p.source = b.source and p.id = e.src and p.hops = b.hops - 1 group by 1, 2)
+select source, id, hops, pred from best left join pred using (source, id)"""
+
+
+@query(_paths("select min(src) as id from edges"))
+def graph_sssp(s, d):
+    e = views.social_edges(s, d)
+    return graph.shortest_paths(e, e.agg(F.min("src").alias("id")))
+
+
+@query(_paths("select distinct src as id from edges order by 1 limit 10"))
+def graph_apsp_10(s, d):
+    e = views.social_edges(s, d)
+    return graph.shortest_paths(e, e.select(F.col("src").alias("id")).distinct().orderBy("id").limit(10))
+
+
+@query()
+def graph_fiedler(s, d):
+    return graph.fiedler(views.social_edges(s, d))
+
+
+@query(f"with {HREFS} select * from hrefs")
+def html_links(s, d):
+    return views.hrefs(s, d)
+
+
+@query(f"with {HREFS} select * from hrefs where href <> '' and href not like '#%' and not regexp_matches(href, '^(?i)(mailto|javascript):') and not (regexp_matches(href, '^(?i)[a-z][a-z0-9+.-]*:') and not regexp_matches(href, '^(?i)http'))")
+def html_links_filtered(s, d):
+    return views.hrefs(s, d).where(urls.worth_following(F.col("href")))
+
+
+@query(f"with {LINKS} select src, dst from links")
+def url_resolve_root(s, d):
+    return views.links(s, d)
+
+
+@query()
+def url_join(s, d):
+    return views.hrefs(s, d).select("page_id", "href", urls.url_join("url", "href").alias("to"))
+
+
+@query("select page_id, regexp_replace(regexp_replace(url || '?q=1#f', '[?#].*$', ''), ';[^/]*$', '') as url from pages")
+def url_strip(s, d):
+    return table(s, d, "pages").select("page_id", urls.strip(F.concat("url", F.lit("?q=1#f"))).alias("url"))
+
+
+def _hosts(s, d):
+    return table(s, d, "pages").select("page_id", "url", urls.authority(F.col("url")).alias("host"))
+
+
+@query(f"select {HOST} as host, count(*) as pages from pages group by 1 having count(*) > 1")
+def host_page_counts(s, d):
+    return _hosts(s, d).groupBy("host").agg(F.count("*").alias("pages")).where("pages > 1")
+
+
+@query(f"select host, (row_number() over (order by host) - 1)::int as id from (select distinct {HOST} as host from pages)")
+def host_ids(s, d):
+    return frontier.host_ids(_hosts(s, d))
+
+
+@query(f"with {LINKS} select src, count(*) as out_links from links group by 1")
+def link_graph(s, d):
+    return views.links(s, d).groupBy("src").agg(F.count("*").alias("out_links"))
+
+
+@query(f"with {LINKS} select {HOST.replace('url', 'dst')} as host, count(*) as refs from links group by 1")
+def in_refs(s, d):
+    return views.links(s, d).groupBy(urls.authority(F.col("dst")).alias("host")).agg(F.count("*").alias("refs"))
+
+
+RULES = (("allow", "/en/6", 0), ("disallow", "/en/", 1), ("disallow", "/fr/8", 2))
+RULES_SQL = "rules(kind, pattern, ord) as (values ('allow', '/en/6', 0), ('disallow', '/en/', 1), ('disallow', '/fr/8', 2))"
+PATHS = f"paths as (select page_id, {HOST} as host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path from pages)"
+
+
+def _rules(s, d):
+    return _hosts(s, d).select("host").distinct().crossJoin(F.broadcast(s.createDataFrame(RULES, "kind string, pattern string, ord int")))
+
+
+def _page_paths(s, d):
+    return _hosts(s, d).select("page_id", "host", urls.path(F.col("url")).alias("path"))
+
+
+@query(f"with {RULES_SQL}, {PATHS} select page_id, host, path, bool_or(kind = 'allow' and starts_with(path, pattern)) or not bool_or(kind = 'disallow' and starts_with(path, pattern)) as allowed from paths, rules group by all")
+def robots_prefix_match(s, d):
+    return robots.prefix_allowed(_page_paths(s, d), _rules(s, d))
+
+
+@query(f"""with {RULES_SQL}, {PATHS}, seg as (select page_id, host, path, string_split(regexp_replace(regexp_replace(path, '/+', '/', 'g'), '^/', ''), '/') as s from paths),
+hits as (select page_id, kind, len(r) as depth, ord from seg, (select kind, ord, string_split(substr(pattern, 2), '/') as r from rules) where len(s) >= len(r) and (r[1] = s[1]) and (r[2] = '' or r[2] = s[2]))
+select page_id, host, path, coalesce((select arg_max(kind, (depth, ord)) from hits h where h.page_id = seg.page_id), 'allow') = 'allow' as allowed from seg""")
+def robots_segment_match(s, d):
+    return robots.segment_allowed(_page_paths(s, d), _rules(s, d))
+
+
+@query(f"with {LINKS} select distinct dst as url from links where dst not in (select url from pages)")
+def frontier_dedup(s, d):
+    return frontier.unseen(views.links(s, d).select(F.col("dst").alias("url")), table(s, d, "pages"))
+
+
+@query(f"select {HOST} as host, url, page_id as seq, ((row_number() over (partition by {HOST} order by page_id, url) - 1) * 3)::double as fetch_at from pages")
+def frontier_schedule(s, d):
+    return frontier.schedule(_hosts(s, d).select("host", "url", F.col("page_id").alias("seq")), 3.0)
+
+
+@query(f"with {RULES_SQL}, {LINKS}, {PATHS}, ok as (select page_id, bool_or(kind = 'allow' and starts_with(path, pattern)) or not bool_or(kind = 'disallow' and starts_with(path, pattern)) as allowed from paths, rules group by 1) select dst as url, min(src) as found_on from links join pages on src = url join ok using (page_id) where allowed and dst not in (select url from pages) group by 1")
+def crawl_round(s, d):
+    pages = table(s, d, "pages")
+    return frontier.crawl_round(pages.select("url"), pages.select("url").limit(0), pages, _rules(s, d))
+
+
+@query("select page_id, strlen(html)::int as size, case when strlen(html) > 3000 then 'large' else 'html' end as status from pages")
+def page_admission(s, d):
+    return frontier.admission(table(s, d, "pages").select("page_id", F.octet_length("html").alias("size")), 3000)
+
+
+def _events(s, d):
+    return table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("client"), F.col("event_type").alias("type"))
+
+
+@query("select event_id, client, type from (select event_id, user_id as client, event_type as type, lag(event_type) over (partition by user_id order by ts, event_id) as last from events) where last is null or last <> type")
+def event_transitions(s, d):
+    return ev.transitions(_events(s, d)).select("event_id", "client", "type")
+
+
+@query("select epoch(time_bucket(interval 1 hour, ts))::bigint as start, count(*) as n from events group by 1")
+def event_rate_windows(s, d):
+    return ev.rates(_events(s, d), "1 hour").withColumn("start", F.unix_timestamp("start"))
+
+
+@query("select user_id as client, arg_max(event_type, (ts, event_id)) as type, arg_max(event_type, (ts, event_id)) = 'error' as dead from events group by 1")
+def event_latest_status(s, d):
+    return ev.latest(_events(s, d))
+
+
+@query("with w as (select epoch(time_bucket(interval 1 hour, ts))::bigint as start, count(*) as n from events group by 1) select start, (sum(n) over (order by start))::bigint as total, round(sum(n) over (order by start) / (start - min(start) over () + 3600), 6) as per_second from w")
+def event_cumulative_rate(s, d):
+    return ev.cumulative(_events(s, d)).select(F.unix_timestamp("start").alias("start"), "total", r6("per_second").alias("per_second"))
+
+
+@query()
+def html_text(s, d):
+    return table(s, d, "pages").select("page_id", tx.html_text("html").alias("text"))
