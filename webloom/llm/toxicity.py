@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_rows, fold, table
+from webloom.llm.common import arrow_rows, fold, staged, table
 
 #: Training rows at most, about: confirmed toxic ones, and unlabelled ones. A hash of the row picks them.
 POSITIVES, UNLABELLED = 4000, 10_000
@@ -31,31 +31,21 @@ def features(words: set[str]) -> set[str]:
     return words | {f"{s}-{k}" for s, n in starts.items() for k in range(1, min(n, 3) + 1)}
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, *, rounds: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[dict[str, float], float]:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, *, rounds: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and intercept of a linear classifier of feature presence, by the non-negative PU risk.
 
-    With the share ``prior`` of toxic texts, the risk of calling the unlabelled toxic, less the part of it that their
-    toxic ones have, estimates the risk on clean texts. When this estimate falls under zero the classifier has begun
-    to fit the sample, and the step goes up its gradient instead (Kiryo and others, 2017). Logistic loss, full
-    batches, Adam, all in numpy.
+    Texts are given as the numbers of their features, of which there are ``size``. With the share ``prior`` of toxic
+    texts, the risk of calling the unlabelled toxic, less the part of it that their toxic ones have, estimates the
+    risk on clean texts. When this estimate falls under zero the classifier has begun to fit the sample, and the step
+    goes up its gradient instead (Kiryo and others, 2017). Logistic loss, full batches, Adam, all in numpy.
     """
-    df_p = Counter(f for x in positive for f in x)
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
-    df_u = Counter(f for x in unlabelled for f in x if f in df_p)
-    z = {}
-    for f, c in df_p.items():
-        q = (df_u[f] + 1) / (n_u + 2)
-        if c >= 3 and (v := (c / n_p - q) / (q * (1 - q) / n_p) ** 0.5) >= LEAST_Z:
-            z[f] = v
-    kept = sorted(z, key=lambda f: (-z[f], f))[:MOST_FEATURES]
-    at = {f: i for i, f in enumerate(kept)}
-
-    def sparse(texts: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [sorted(at[f] for f in x if f in at) for x in texts]
-        return np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.array([i for c in cols for i in c], np.int64)
+
+    def sparse(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(texts)), [len(c) for c in texts]), np.concatenate([np.empty(0, np.int64), *texts]).astype(np.int64)
 
     (rp, cp), (ru, cu) = sparse(positive), sparse(unlabelled)
-    w, m, v = (np.zeros(len(kept) + 1) for _ in range(3))
+    w, m, v = (np.zeros(size + 1) for _ in range(3))
     w[-1] = -2.0
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
     for t in range(1, rounds + 1):
@@ -64,21 +54,30 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, *, r
         clean = np.logaddexp(0, fu).sum() / n_u - prior * np.logaddexp(0, fp).sum() / n_p
         up, gp, gu = prior * (sigmoid(fp) - 1) / n_p, -prior * sigmoid(fp) / n_p, sigmoid(fu) / n_u
         gp, gu = (up + gp, gu) if clean >= 0 else (-gp, -gu)
-        g = np.r_[np.bincount(cp, gp[rp], len(kept)) + np.bincount(cu, gu[ru], len(kept)), gp.sum() + gu.sum()]
+        g = np.r_[np.bincount(cp, gp[rp], size) + np.bincount(cu, gu[ru], size), gp.sum() + gu.sum()]
         g[:-1] += decay * prior * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return {f: float(w[i]) for f, i in at.items()}, float(w[-1])
+    return w[:-1], float(w[-1])
 
 
-def _word_sets(docs: DataFrame) -> list[set[str]]:
-    """The sets of words of a bounded sample, made on the executors."""
+def _with_features(docs: DataFrame) -> DataFrame:
+    """toxic and features (array<string>) of rows (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(set(_WORDS.findall((t.as_py() or "").lower()))) for t in b.column("text")], pa.list_(pa.string()))], ["words"])
+            found = [sorted(features(set(_WORDS.findall((t.as_py() or "").lower())))) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["toxic", "features"])
+
+    return docs.select("toxic", F.col("text").cast("string").alias("text")).mapInArrow(run, "toxic int, features array<string>")
 
-    return [set(r.words) for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "words array<string>").toLocalIterator()]
+
+def _vocabulary(sample: DataFrame, n_p: int, n_u: int) -> list[str]:
+    """The features that stand out among the positives of a sample; counted by a shuffle, MOST_FEATURES at most."""
+    per = sample.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("u")).where("p >= 3")
+    q = (F.col("u") + 1) / (n_u + 2)
+    z = (F.col("p") / n_p - q) / F.sqrt(q * (1 - q) / n_p)
+    return [r.f for r in per.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(MOST_FEATURES).select("f").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None) -> tuple[dict[str, float], float]:
@@ -97,9 +96,23 @@ def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None) ->
     prior = min(0.9, max(0.005, seen[1] / seen[0])) if prior is None else prior
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / (1 << 30)
     toxic = marks.where("toxic = 1").where(draw < POSITIVES / seen[1]).select("doc_id").limit(2 * POSITIVES)
-    positive = _word_sets(docs.join(toxic, "doc_id", "left_semi"))
-    unlabelled = _word_sets(docs.where(draw < UNLABELLED / rows).limit(2 * UNLABELLED))
-    return fit([features(x) for x in positive], [features(x) for x in unlabelled], prior)
+    positive = docs.join(toxic, "doc_id", "left_semi").select("text", F.lit(1).alias("toxic"))
+    unlabelled = docs.where(draw < UNLABELLED / rows).limit(2 * UNLABELLED).select("text", F.lit(0).alias("toxic"))
+    sample = staged(_with_features(positive.unionByName(unlabelled)), "toxicity-sample")
+    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    vocabulary = _vocabulary(sample, n.get(1, 0), n.get(0, 0))
+    at = {f: i for i, f in enumerate(vocabulary)}
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            have = [sorted(at[f] for f in x.as_py() if f in at) for x in b.column("features")]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(have, pa.list_(pa.int32()))], ["toxic", "at"])
+
+    texts: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for r in sample.mapInArrow(number, "toxic int, at array<int>").toLocalIterator():
+        texts[r.toxic].append(np.array(r["at"], np.int64))
+    weights, bias = fit(texts[1], texts[0], len(vocabulary), prior)
+    return dict(zip(vocabulary, map(float, weights), strict=True)), bias
 
 
 def with_score(docs: DataFrame, model: tuple[dict[str, float], float], *, cut: float = CUT) -> DataFrame:
