@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,33 +18,35 @@ from webloom.llm.common import arrow_rows, row_key, staged, table
 SENTENCES, WORDS = 2, 12
 #: Sentences of more words than this are cut at their commas, semicolons and colons too.
 LONG = 20
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)\s*")
+_SENTENCE_END = re.compile(r"(?:[.!?]+(?=\s)|(?=\n))\s+")
 _CLAUSE = re.compile(r"[^,;:]*(?:[,;:]+(?=\s)|\Z)\s*")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Where the sentences of a text start and end, the white space behind them included; they cover the text."""
     found: list[tuple[int, int]] = []
-    for m in _SENTENCE.finditer(text):
-        if m.end() == m.start():
-            continue
-        if len(m[0].split()) <= LONG:
-            found.append(m.span())
+    ends = [m.end() for m in _SENTENCE_END.finditer(text)]
+    if text and (not ends or ends[-1] < len(text)):
+        ends.append(len(text))
+    for a, b in zip([0, *ends], ends):
+        sentence = text[a:b]
+        if sentence.count(" ") < LONG or len(sentence.split()) <= LONG:
+            found.append((a, b))
         else:
-            found.extend((m.start() + c.start(), m.start() + c.end()) for c in _CLAUSE.finditer(m[0]) if c.end() > c.start())
+            found.extend((a + c.start(), a + c.end()) for c in _CLAUSE.finditer(sentence) if c.end() > c.start())
     return found
 
 
-def spans(text: str) -> Iterator[tuple[int, int, int]]:
-    """(first sentence, number of sentences, hash) of every span. Case and white space do not count."""
+def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every span its first sentence, number of sentences, and hash. Case and white space do not count."""
     words = [text[a:b].lower().split() for a, b in sentences(text)]
-    upto = np.r_[0, np.cumsum([len(w) for w in words])] if words else np.zeros(1, np.int64)
+    upto = np.r_[0, np.cumsum([len(w) for w in words], dtype=np.int64)]
+    first = np.arange(len(words))
+    end = np.maximum(first + SENTENCES, np.searchsorted(upto, upto[:-1] + WORDS))
+    first, end = first[end <= len(words)], end[end <= len(words)]
     texts = [" ".join(w) for w in words]
-    for i in range(len(words)):
-        end = max(i + SENTENCES, int(np.searchsorted(upto, upto[i] + WORDS)))
-        if end > len(words):
-            break
-        yield i, end - i, xxhash.xxh64_intdigest(" ".join(texts[i:end]), 42) - (1 << 63)
+    joined = (" ".join(texts[i:j]) for i, j in zip(first.tolist(), end.tolist(), strict=True))
+    return first, end - first, np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(42)), np.uint64, len(first)).view(np.int64)
 
 
 def _strip(text: str, marks: list[dict]) -> tuple[str, int, list[tuple[int, int]], list[int]]:
@@ -84,9 +87,9 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, *x) for i, t in enumerate(b.column("text")) for x in spans(t.as_py() or "")]
-            row, at, n, h = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-            take = pa.array(row)
+            found = [spans(t.as_py() or "") for t in b.column("text")]
+            at, n, h = (np.concatenate([np.empty(0, np.int64), *[f[k] for f in found]]) for k in range(3))
+            take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h)],
                 ["doc_id", "text_key", "at", "n", "hash"],
@@ -94,7 +97,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     every = staged(keyed.mapInArrow(emit, f"doc_id {kind}, text_key long, at int, n int, hash long"), "spans")
     repeated = staged(every.groupBy("hash").agg(F.count("*").alias("times"), F.min("doc_id").alias("first")).where("times > 1").drop("times"), "repeated")
-    found = every.join(repeated, "hash").select("doc_id", "text_key", "at", "n", "hash", "first", F.col("doc_id").eqNullSafe(F.col("first")).alias("own")).distinct()
+    found = every.join(repeated, "hash").select("doc_id", "text_key", "at", "n", "hash", "first", F.col("doc_id").eqNullSafe(F.col("first")).alias("own"))
     marks = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "n", "hash", "first", "own")).alias("marks"), F.count("*").alias("all"), F.countDistinct(F.when(F.col("own"), F.col("hash"))).alias("firsts"))
     marks = marks.where(F.col("all") > F.col("firsts")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "marks")
     joined = keyed.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
