@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def clean_text(t: Column) -> Column:
@@ -95,7 +96,7 @@ def near_dup_score(a: Column, b: Column, n: int = 3, short: int = 100) -> Column
     return F.when(F.length(a) < short, jaccard(x, y)).otherwise(sketch_equal(sketch(x), sketch(y)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text of a page without scripts, styles and comments; tags become spaces."""
     import html
@@ -107,7 +108,7 @@ def html_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda p: None if p is None else space.sub(" ", html.unescape(tag.sub(" ", gone.sub(" ", p)))).strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unicode_unescape(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stored pages with backslash escapes, decoded; null where that fails."""
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def scheme(u: Column) -> Column:
@@ -65,7 +66,7 @@ def normalize(u: Column) -> Column:
     return F.concat(scheme(u), F.lit("://"), host, F.regexp_extract(u, r"^[^:]*://[^/?#]*([^#]*)", 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def url_join(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """A reference resolved against a base, by RFC 3986; null where either is null or cannot be read."""
     from urllib.parse import urljoin
