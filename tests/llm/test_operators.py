@@ -34,6 +34,8 @@ def test_odd_rows(spark):
     assert secrets.redact(docs).columns == docs.columns
     assert mixing.mix(docs).count() == n
     assert simhash.near_groups(docs).count() == n
+    copies = simhash.near_copies(docs).collect()
+    assert len(copies) == n and {r.component_id for r in copies if r.doc_id in (6, 7)} == {6} and {r.component_id for r in copies if r.doc_id in (1, 2, 3)} == {1}
     assert lm.with_scores(docs, docs)[0].count() == n
     assert toxicity.with_score(docs.drop("toxic"), toxicity.train(docs, labels)).count() == n
     assert [r.lang_pred for r in langid.with_language(docs, langid.train(docs)).collect()] == ["und"] * n
@@ -48,7 +50,7 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     for df in (
-        substrings.dedup(docs), secrets.secret_spans(docs), mixing.mix(docs), simhash.near_groups(docs), lm.with_scores(docs, docs)[0],
+        substrings.dedup(docs), secrets.secret_spans(docs), mixing.mix(docs), simhash.near_groups(docs), simhash.near_copies(docs), lm.with_scores(docs, docs)[0],
         toxicity.with_score(docs.drop("toxic"), toxicity.train(docs, labels)), langid.with_language(docs, langid.train(docs)), decontam.overlaps(docs, bench),
         fingerprints.with_next(docs, ["text"]), htmltext.with_main_text(spark.createDataFrame([], "page_id long, url string, html string")),
     ):
@@ -200,6 +202,30 @@ def test_simhash_groups(spark, few, monkeypatch):
     assert len(set(comps.values())) == sum(len(c) > 1 for c in classes(root))
 
 
+@pytest.mark.parametrize("nearest", [simhash.LATEST + 1, simhash.NEAREST])
+def test_near_copies_against_all_pairs(spark, monkeypatch, nearest):
+    monkeypatch.setattr(simhash, "NEAREST", nearest)
+    rng = random.Random(9)
+    docs = []
+    for group in range(40):
+        base = [f"g{group}w{rng.randrange(400)}" for _ in range(rng.choice([4, 30, 150]))]
+        for _ in range(rng.choice([1, 2, 5, 12])):
+            text = [w if rng.random() > 0.01 * rng.randrange(4) else f"v{rng.randrange(10**6)}" for w in base]
+            docs.append((len(docs), " ".join(text)))
+    runs = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    sets = [runs(t.split()) for _, t in docs]
+    alike = {(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_groups(df).collect()}
+    near = {(i, j) for i in range(len(docs)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3}
+    low = list(range(len(docs)))
+    for _ in docs:
+        for i, j in alike | near:
+            low[i] = low[j] = min(low[i], low[j])
+    assert len(alike - near) > 20 and found == dict(enumerate(low))
+
+
 def test_simhash_bits():
     t = "The quick brown fox jumps the quick brown fox jumps".encode()
     w = t.lower().split()

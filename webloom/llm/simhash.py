@@ -19,6 +19,12 @@ RADIUS = 3
 FEW = 64
 #: Shingles hashed at a time, so that a very long text needs no more memory.
 PIECE = 1 << 16
+#: For near copies beyond the fingerprints' radius: words of a shingle, least Jaccard similarity of the sets of shingles, and
+#: BANDS times ROWS least hashes. A pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8.
+WIDE, ALIKE = 5, 0.8
+BANDS, ROWS = 20, 6
+#: In a band, each of the first NEAREST members is paired with all before it; those after with the first and with LATEST (fewer) before.
+NEAREST, LATEST = 16, 3
 
 
 def simhash(raw: bytes, width: int = 3) -> int:
@@ -181,5 +187,106 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     return made.join(ids, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(raw: bytes, width: int = WIDE) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles (fewer words: of the whole sequence; none: no hash)."""
+    words = raw.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    ahead = min(width, len(words))
+    made = np.full(len(words) - ahead + 1, ahead, np.uint64)
+    for i in range(ahead):
+        made = (made ^ each[i : len(each) - ahead + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        made ^= made >> np.uint64(29)
+    return np.unique(made)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band: a hash of the least values of the set under ROWS hash functions, and of the band's number."""
+    rng = np.random.default_rng(8)
+    mask, odd = (rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) for _ in range(2))
+    odd |= np.uint64(1)
+    least = np.full(BANDS * ROWS, np.uint64((1 << 64) - 1))
+    for i in range(0, len(hashes), 4096):
+        np.minimum(least, ((hashes[i : i + 4096, None] ^ mask) * odd).min(0), out=least)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def with_bands(docs: DataFrame) -> DataFrame:
+    """doc_id, n (distinct shingles), whole (a hash of their set) and keys (of the bands) of the rows of ``docs`` with an id and any word."""
+    arrow_rows(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py().encode()) for t in b.column("text")]
+            keys = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+            whole = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), whole, keys], ["doc_id", "n", "whole", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    return texts.mapInArrow(run, f"doc_id {kind}, n long, whole long, keys array<long>").where("n > 0")
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose texts have a Jaccard similarity of ALIKE or more."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("text_a"), batch.column("text_b")):
+            one, two = shingle_set(x.as_py().encode()), shingle_set(y.as_py().encode())
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            keep.append(both >= ALIKE * (len(one) + len(two) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_links(docs: DataFrame, bands: DataFrame) -> DataFrame:
+    """Links (a, b) of documents of different groups that share a band and whose whole texts have a similarity of ALIKE or more.
+
+    ``bands`` has doc_id, n, component_id and keys of one document for each distinct set of shingles.
+
+    A band's members are ordered by a hash. Partners are found in one pass of windows, so rows grow with the members
+    and not with their pairs: all pairs of bands with up to NEAREST members, fewer in larger bands, whose members meet
+    again in other bands in other company. Groups and sizes rule out pairs before texts are joined, and only texts with a
+    partner are.
+    """
+    at = bands.select("doc_id", F.explode("keys").alias("key"), F.struct("doc_id", "n", "component_id").alias("me"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
+    before = F.collect_list("me").over(order.rowsBetween(1 - NEAREST, -1))
+    first = F.first("me").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    seen = at.select("me", before.alias("before"), first.alias("first"), F.row_number().over(order).alias("place")).where("place > 1")
+    mates = F.when(F.col("place") <= NEAREST, F.col("before")).otherwise(F.array_append(F.slice("before", -LATEST, LATEST), F.col("first")))
+    pairs = seen.select("me", F.explode(mates).alias("other")).where("me.component_id <> other.component_id").where(
+        F.least("me.n", "other.n") >= ALIKE * F.greatest("me.n", "other.n")
+    )
+    pairs = staged(pairs.select(F.least("me.doc_id", "other.doc_id").alias("a"), F.greatest("me.doc_id", "other.doc_id").alias("b")).distinct(), "near-pairs")
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = staged(docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(paired, "doc_id", "left_semi"), "near-texts")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    whole = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    return whole.mapInArrow(_alike, f"a {kind}, b {kind}")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id of every row of ``docs`` (doc_id, text): SimHash groups, joined on by near links.
+
+    SimHash with 64 bits cannot tell a similarity of 0.8 at a radius that balls can cover. So ball hashing groups first, and
+    documents of different groups that share a band of least hashes are linked as well, if the similarity of their sets of
+    WIDE-word shingles is ALIKE or more. Equal sets count once.
+
+    Rows without an id or any word are grouped by their fingerprint alone; rows that share an id are one document, linked if
+    any of them is; ties cannot arise; an empty table gives an empty result; other columns are ignored.
+    """
+    groups = staged(near_groups(docs).select("doc_id", "component_id"), "near-groups")
+    bands = staged(with_bands(docs).join(groups.where("doc_id is not null").distinct(), "doc_id"), "near-bands")
+    heads = bands.groupBy("whole", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("component_id", "keys"), "doc_id").alias("of"))
+    heads = staged(heads.select("whole", "n", "doc_id", "of.*"), "near-heads")
+    linked = bands.select("whole", "n", "component_id").distinct().join(heads.select("whole", "n", F.col("doc_id").alias("a")), ["whole", "n"])
+    edges = linked.select("a", F.col("component_id").alias("b")).where("a <> b").distinct().unionByName(near_links(docs, heads))
+    roots = staged(components(edges), "near-roots")
+    lows = roots.groupBy("root").agg(F.min("node").alias("low"))
+    low = roots.join(lows, "root").select(F.col("node").alias("component_id"), "low").where("low <> component_id")
+    return groups.join(low, "component_id", "left").select("doc_id", F.coalesce("low", "component_id").alias("component_id"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
