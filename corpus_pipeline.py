@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked SimHash fingerprints the document with the least id stays; of rows that share it, one."""
-    groups = simhash.near_groups(docs.select("doc_id", "text"))
+    """Of each group of linked documents, by SimHash or by near copies of it, the one with the least id stays; of rows that share it, one."""
+    groups = simhash.near_copies(docs.select("doc_id", "text"))
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
 
