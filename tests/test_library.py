@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from webloom import catalog
 from webloom.functions import text, urls
+from webloom.functions.stem import stem, stem_en
 from webloom.operators import recommend, retrieval, robots
+from webloom.plans import views
+from webloom.streaming import events as ev
 
 SMALL = "/root/testdata/sf0.001"
 SLOW = {"rec_grid_rmse"}
@@ -85,3 +88,56 @@ def test_query_equals_sql(spark, name):
         assert rows == sorted(con.execute(f"select {', '.join(cols)} from ({catalog.SQL[name]})").fetchall(), key=repr)
     else:
         assert rows
+
+
+STEMS = dict(
+    caresses="caress", ponies="poni", ties="tie", cats="cat", agreed="agre", hopping="hop", hoping="hope", relational="relat", generously="generous",
+    consistency="consist", knightly="knight", happy="happi", by="by", say="say", cry="cri", luxuriating="luxuri", consigned="consign", communication="communic",
+    gas="gas", this="this", kiwis="kiwi", bed="bed", sized="size", falling="fall", controlling="control", news="news", dying="die", possibly="possibl", herring="herring",
+)
+
+
+def test_stems(spark):
+    assert {w: stem(w) for w in STEMS} == STEMS
+    got = spark.createDataFrame([(w, v) for w, v in [*STEMS.items(), (None, None), ("", "")]], "w string, v string").withColumn("s", stem_en("w"))
+    assert got.where("not (s <=> v)").isEmpty()
+
+
+def test_all_pairs_of_paths(spark):
+    edges = [(r.src, r.dst) for r in views.social_edges(spark, SMALL).collect()]
+    ahead, want = {}, set()
+    for a, b in edges:
+        ahead.setdefault(a, []).append(b)
+    for source in ahead:
+        hops, front = {source: 0}, [source]
+        for x in front:
+            for y in ahead.get(x, []):
+                if y not in hops:
+                    hops[y] = hops[x] + 1
+                    front.append(y)
+        want |= {(source, y, h) for y, h in hops.items()}
+    found = catalog.QUERIES["graph_apsp"](spark, SMALL).collect()
+    assert len(found) == len(want) and {(r.source, r.id, r.hops) for r in found} == want
+    links = set(edges)
+    assert all(r.hops == 0 or ((r.pred, r.id) in links and (r.source, r.pred, r.hops - 1) in want) for r in found)
+
+
+def test_streams_agree_with_batches(spark, tmp_path):
+    source = tmp_path / "in"
+    rows = [(i, i, i % 3, "abca"[(i * 7 // 3) % 4]) for i in range(60)]
+    schema = "event_id long, s long, client int, type string"
+    for part in range(3):  # files in order of time; each is one batch
+        spark.createDataFrame(rows[part * 20 : part * 20 + 20], schema).coalesce(1).write.mode("append").parquet(str(source))
+    named = lambda df: df.select("event_id", F.timestamp_seconds("s").alias("ts"), "client", "type")
+    stream = named(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source)))
+    batch = named(spark.read.parquet(str(source)))
+
+    def drained(df, mode, name):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return sorted(map(tuple, spark.table(name).collect()))
+
+    assert drained(ev.transitions_stream(stream), "append", "changes") == sorted(map(tuple, ev.transitions(batch).select("event_id", "ts", "client", "type").collect()))
+    assert drained(ev.rates(stream, "10 seconds"), "complete", "rates") == sorted(map(tuple, ev.rates(batch, "10 seconds").collect()))
+    seen = drained(ev.unique_urls_stream(stream.select("ts", F.col("type").alias("url"))).select("url"), "append", "urls")
+    assert seen == [("a",), ("b",), ("c",)]
