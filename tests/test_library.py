@@ -141,3 +141,18 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert drained(ev.rates(stream, "10 seconds"), "complete", "rates") == sorted(map(tuple, ev.rates(batch, "10 seconds").collect()))
     seen = drained(ev.unique_urls_stream(stream.select("ts", F.col("type").alias("url"))).select("url"), "append", "urls")
     assert seen == [("a",), ("b",), ("c",)]
+
+
+def test_p_values_of_correlations(spark):
+    def tail(r, n, cells=200_000):  # Student's density with n - 2 degrees of freedom, in terms of r, by midpoints
+        power = (n - 4) / 2
+        area = lambda a, b: sum((1 - (a + (b - a) * (i + 0.5) / cells) ** 2) ** power for i in range(cells)) * (b - a) / cells
+        return area(abs(r), 1) / area(0, 1)
+
+    cases = [(r, n) for n in (4, 5, 6, 9, 30, 61) for r in (0.0, -0.3, 0.55, 0.9)]
+    got = spark.createDataFrame([*cases, (0.5, 3), (1.0, 8), (0.4, 2), (0.4, 1)], "sim double, n long").withColumn("p", recommend.p_value("sim", "n")).collect()
+    for row, (r, n) in zip(got, cases):
+        assert math.isclose(row.p, tail(r, n), abs_tol=1e-5)
+    assert math.isclose(got[-4].p, 2 / 3) and [x.p for x in got[-3:]] == [0.0, 1.0, None]
+    train = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 1), (2, 2, 3), (2, 3, 2)], "user_id int, item_id int, rating int")
+    assert recommend.pearson(train).first().sim == 0.5 and recommend.pearson(train, similarity="max_r_p").first().sim == 0.666667

@@ -231,6 +231,11 @@ def rec_pearson_pairs(s, d):
     return recommend.pearson(views.ratings_split(s, d)[1])
 
 
+@query()
+def rec_pearson_max_rp(s, d):
+    return recommend.pearson(views.ratings_split(s, d)[1], similarity="max_r_p")
+
+
 def _sim(s, d):
     test, train = views.ratings_split(s, d)
     return test, train, recommend.pearson(train, test.select("user_id").distinct())
