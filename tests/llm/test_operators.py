@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from webloom.llm.common import staged
 from webloom.llm import decontam, fingerprints, htmltext, langid, lm, mixing, secrets, simhash, substrings, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, target string, toxic string, fingerprint string"
@@ -226,6 +227,20 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, nearest):
     assert len(alike - near) > 20 and found == dict(enumerate(low))
 
 
+def test_near_copies_in_a_large_family(spark):
+    rng = random.Random(5)
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    template = [f"t{i}" for i in range(90)]
+    texts = [template + own(rng.choice([12, 13])) for _ in range(2000)]  # 0.77 to 0.78 alike
+    planted = [(i, len(texts) + i) for i in range(40)]
+    texts += [texts[i][:94] + own(8) for i, _ in planted]  # 0.84
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    bands = staged(simhash.with_bands(df).withColumn("component_id", F.col("doc_id")))
+    some = {(r.a, r.b) for r in simhash.near_links(df, bands).collect()}
+    every = some | {(r.a, r.b) for r in simhash.crowded_links(df, bands).collect()}
+    assert some < set(planted) and every == set(planted)
+
+
 def test_simhash_bits():
     t = "The quick brown fox jumps the quick brown fox jumps".encode()
     w = t.lower().split()

@@ -24,7 +24,12 @@ PIECE = 1 << 16
 WIDE, ALIKE = 5, 0.8
 BANDS, ROWS = 20, 6
 #: In a band, each of the first NEAREST members is paired with all before it; those after with the first and with LATEST (fewer) before.
+#: What that leaves open in a band of more members is settled by rare shingles, exactly.
 NEAREST, LATEST = 16, 3
+#: Cells in which shingles are counted, to put rare ones first.
+CELLS = 1 << 18
+#: Pairs of one shingle looked at in one go.
+SLICE = 1 << 20
 
 
 def simhash(raw: bytes, width: int = 3) -> int:
@@ -239,31 +244,140 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose whole texts are alike. Only texts with a partner are shuffled."""
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = staged(docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(paired, "doc_id", "left_semi"), "near-texts")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    whole = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    return staged(whole.mapInArrow(_alike, f"a {kind}, b {kind}"), "near-links")
+
+
 def near_links(docs: DataFrame, bands: DataFrame) -> DataFrame:
     """Links (a, b) of documents of different groups that share a band and whose whole texts have a similarity of ALIKE or more.
 
     ``bands`` has doc_id, n, component_id and keys of one document for each distinct set of shingles.
 
-    A band's members are ordered by a hash. Partners are found in one pass of windows, so rows grow with the members
-    and not with their pairs: all pairs of bands with up to NEAREST members, fewer in larger bands, whose members meet
-    again in other bands in other company. Groups and sizes rule out pairs before texts are joined, and only texts with a
-    partner are.
+    A band's members are ordered by a hash, in each band anew. Partners are found in one pass of windows, so rows grow
+    with the members and not with their pairs: all pairs of bands with up to NEAREST members, fewer in larger bands
+    (crowded_links has the rest). Groups and sizes rule out partners before they are chosen.
     """
     at = bands.select("doc_id", F.explode("keys").alias("key"), F.struct("doc_id", "n", "component_id").alias("me"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", "key"), "doc_id")
     before = F.collect_list("me").over(order.rowsBetween(1 - NEAREST, -1))
     first = F.first("me").over(order.rowsBetween(Window.unboundedPreceding, 0))
     seen = at.select("me", before.alias("before"), first.alias("first"), F.row_number().over(order).alias("place")).where("place > 1")
-    mates = F.when(F.col("place") <= NEAREST, F.col("before")).otherwise(F.array_append(F.slice("before", -LATEST, LATEST), F.col("first")))
-    pairs = seen.select("me", F.explode(mates).alias("other")).where("me.component_id <> other.component_id").where(
-        F.least("me.n", "other.n") >= ALIKE * F.greatest("me.n", "other.n")
-    )
+
+    def able(other):
+        return (F.col("me.component_id") != other["component_id"]) & (F.least(F.col("me.n"), other["n"]) >= ALIKE * F.greatest(F.col("me.n"), other["n"]))
+
+    mates = F.filter("before", able)
+    mates = F.when(F.col("place") <= NEAREST, mates).otherwise(F.concat(F.slice(F.reverse(mates), 1, LATEST), F.filter(F.array("first"), able)))
+    pairs = seen.select("me", F.explode(mates).alias("other"))
     pairs = staged(pairs.select(F.least("me.doc_id", "other.doc_id").alias("a"), F.greatest("me.doc_id", "other.doc_id").alias("b")).distinct(), "near-pairs")
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = staged(docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(paired, "doc_id", "left_semi"), "near-texts")
+    return _verified(docs, pairs)
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
+
+
+def _rare_first(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(shingle, n, rest, group, doc_id): of each text the shingles, rare ones first, that a partner must share one of; and how many are not before it."""
+    for b in batches:
+        made, size = [], []
+        for t in b.column("text"):
+            hashes = shingle_set(t.as_py().encode())
+            ahead = int(len(hashes) * (1 - ALIKE) + 1e-6) + 1
+            made.append(hashes[np.lexsort((hashes, counts[_cells(hashes)]))][:ahead])
+            size.append(len(hashes))
+        long = [len(m) for m in made]
+        row = np.repeat(np.arange(len(made)), long)
+        n = np.repeat(np.array(size, np.int64), long)
+        rest = n - np.concatenate([np.empty(0, np.int64), *map(np.arange, long)]).astype(np.int64)
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([np.empty(0, np.uint64), *made]).view(np.int64)), pa.array(n), pa.array(rest), b.column("group").take(take), b.column("doc_id").take(take)],
+            ["shingle", "n", "rest", "group", "doc_id"],
+        )
+
+
+def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of _rare_first, sorted by shingle and n: pairs (a, b) of different groups that can still be alike, by what is not before the shingle in both."""
+    reach = (1 + ALIKE) / ALIKE
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        shingle, n, rest, group = (rows.column(c).to_numpy() for c in ("shingle", "n", "rest", "group"))
+        ids = rows.column("doc_id")
+        run = np.cumsum(np.r_[False, shingle[1:] != shingle[:-1]]) << 32
+        most = rest * reach + 1e-6  # both sizes together are at most so much
+        low = np.searchsorted(run + n, run + np.ceil(ALIKE * n - 1e-6).astype(np.int64))
+        high = np.minimum(np.arange(len(n)), np.searchsorted(run + n, run + np.floor(most - n).astype(np.int64), "right"))
+        wide = np.maximum(high - low, 0)
+        upto = np.r_[0, np.cumsum(wide)]
+        for at in range(0, int(upto[-1]), SLICE):
+            k = np.arange(at, min(at + SLICE, int(upto[-1])))
+            x = np.searchsorted(upto, k, "right") - 1
+            y = low[x] + k - upto[x]
+            good = (group[x] != group[y]) & (n[x] + n[y] <= most[y])
+            if good.any():
+                one, two = ids.take(pa.array(x[good])).combine_chunks(), ids.take(pa.array(y[good])).combine_chunks()
+                yield pa.RecordBatch.from_arrays([one, two], ["x", "y"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch.column("shingle").to_numpy()
+        if sum(map(len, held)) > 1 << 16 and key[-1] != held[-1].column("shingle")[-1].as_py():
+            cut = int(np.searchsorted(key, key[-1]))
+            yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+            batch = batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
+
+
+def crowded_links(docs: DataFrame, bands: DataFrame) -> DataFrame:
+    """Links (a, b) of all documents of different groups in bands of more than NEAREST members whose whole texts are alike.
+
+    Bands whose members are all of one group by now need none. The members of the others are joined by rare shingles:
+    with each set's shingles in one order, those rare among the members first, two sets alike share one that has enough
+    shingles from it on, in both sets, for what they must have in common. What a large family shares comes last, and sets
+    that share no more than that have too little from there on to meet, so rows grow with the members. No pair is lost.
+    """
+    at = bands.select("doc_id", "component_id", F.explode("keys").alias("key"))
+    open_ = at.groupBy("key").agg(F.count("*").alias("size"), F.min("component_id").alias("low"), F.max("component_id").alias("high")).where(f"size > {NEAREST} and low <> high")
+    members = at.join(open_.select("key"), "key", "left_semi").select("doc_id", F.xxhash64("component_id").alias("group")).distinct()
+    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = staged(texts.join(members, "doc_id"), "crowded-texts")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    whole = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return whole.mapInArrow(_alike, f"a {kind}, b {kind}")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for t in b.column("text"):
+                np.add.at(found, _cells(shingle_set(t.as_py().encode())), 1)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(found[some])], ["cell", "times"])
+
+    cells = texts.mapInArrow(count, "cell int, times long").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[cells.column("cell").to_numpy()] = cells.column("times").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
+    rows = texts.mapInArrow(lambda batches: _rare_first(batches, sent.value), f"shingle long, n long, rest long, group long, doc_id {kind}")
+    shared = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shingle").sortWithinPartitions("shingle", "n")
+    pairs = shared.mapInArrow(_sharing, f"x {kind}, y {kind}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return _verified(docs, staged(pairs, "crowded-pairs"))
+
+
+def _lows(edges: DataFrame) -> DataFrame:
+    """component_id and low, the least node of its component, of the nodes of ``edges`` that are not that."""
+    roots = staged(components(edges), "near-roots")
+    lows = roots.groupBy("root").agg(F.min("node").alias("low"))
+    return roots.join(lows, "root").select(F.col("node").alias("component_id"), "low").where("low <> component_id")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -281,10 +395,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     heads = bands.groupBy("whole", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("component_id", "keys"), "doc_id").alias("of"))
     heads = staged(heads.select("whole", "n", "doc_id", "of.*"), "near-heads")
     linked = bands.select("whole", "n", "component_id").distinct().join(heads.select("whole", "n", F.col("doc_id").alias("a")), ["whole", "n"])
-    edges = linked.select("a", F.col("component_id").alias("b")).where("a <> b").distinct().unionByName(near_links(docs, heads))
-    roots = staged(components(edges), "near-roots")
-    lows = roots.groupBy("root").agg(F.min("node").alias("low"))
-    low = roots.join(lows, "root").select(F.col("node").alias("component_id"), "low").where("low <> component_id")
+    edges = staged(linked.select("a", F.col("component_id").alias("b")).where("a <> b").distinct().unionByName(near_links(docs, heads)), "near-edges")
+    now = heads.join(_lows(edges), "component_id", "left").withColumn("component_id", F.coalesce("low", "component_id")).select("doc_id", "component_id", "keys")
+    low = _lows(edges.unionByName(crowded_links(docs, staged(now, "near-now"))))
     return groups.join(low, "component_id", "left").select("doc_id", F.coalesce("low", "component_id").alias("component_id"))
 
 
