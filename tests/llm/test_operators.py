@@ -106,6 +106,18 @@ def test_language_model_is_a_distribution_and_base_is_exact(spark):
         assert math.isclose((10 ** lm.log_probability(model, every)).sum(), 1.0, rel_tol=1e-5)
 
 
+def test_language_model_keeps_rare_contexts(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice(["cat", "dog", "sat", "mats", "ran", f"x{rng.randrange(50)}"]) for _ in range(40))) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    score = lambda: {r.doc_id: r.score for r in lm.with_scores(df, df.where("doc_id < 20"))[0].collect()}
+    want = score()
+    for most in (0, 40):
+        monkeypatch.setattr(lm, "MOST_NODES", most)
+        got = score()
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-5) for i in want)
+
+
 def test_secrets_against_re(spark):
     rng = random.Random(3)
     bits = ["password: hunter2hunter2", "token=short", "AKIA" + "Q" * 16, "AKIAAB", "0a" * 16, "é", 'API_KEY = "abcDEF123456"', "secret: token: abcdefghijk", "words and words", "\n"]

@@ -16,11 +16,13 @@ from webloom.llm.common import arrow_rows, fold, row_key, staged, table
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Nodes of the trie, and words whose counts are sent to the executors, at most. Counts cover all training texts; the
-#: trie keeps the nodes with the greatest counts, and the counts of all other words are joined by a shuffle.
+#: Runs of ORDER + 1 bytes, and words, that are sent to the executors, at most: those with the greatest counts. What
+#: is known of all others is joined by a shuffle.
 MOST_NODES, MOST_WORDS = 1 << 20, 1 << 19
-#: Slots of the table that holds the longest contexts' nodes.
-SLOT_BITS = 22
+#: The trie is dealt out by so many last bytes of the context; contexts of fewer bytes go to all parts.
+DEAL = 2
+#: Nodes of a part of the trie, about.
+PART_NODES = 1 << 19
 #: Bytes scored or counted at a time, so that a very long text needs no more memory.
 PIECE = 1 << 20
 _EMPTY = np.int64(-1)
@@ -144,24 +146,29 @@ def trie(nodes: list[tuple[np.ndarray, np.ndarray]]) -> dict:
         orders.append(order)
     model = {"orders": [{x: o[x] for x in ("key", "log", "ctx", "whole", "escape", "left", "left_escape") if x in o} for o in orders]}
     model["unseen"] = -np.log10(max(1, 256 - (len(orders[0]["key"]) if orders else 0)))
-    slots, value = np.full(1 << SLOT_BITS, _EMPTY), np.zeros(1 << SLOT_BITS, np.float32)
     if orders:
         top = orders[-1]
-        key = top["key"]
-        logp = top["log"] - np.repeat(top["whole"], top["kinds"])
-        at, rest = _slot(key), np.arange(len(key))
-        while len(rest):
-            free = rest[slots[at[rest]] == _EMPTY]
-            _, one = np.unique(at[free], return_index=True)
-            put = free[one]
-            slots[at[put]], value[at[put]] = key[put], logp[put]
-            rest = np.setdiff1d(rest, put, assume_unique=True)
-            at[rest] = (at[rest] + 1) & ((1 << SLOT_BITS) - 1)
-    return model | {"slots": slots, "value": value}
+        return model | table_of(top["key"], top["log"] - np.repeat(top["whole"], top["kinds"]))
+    return model | table_of(np.empty(0, np.int64), np.empty(0))
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def table_of(key: np.ndarray, logp: np.ndarray) -> dict:
+    """A hash table of distinct keys and their values: at most half of its slots are taken."""
+    bits = max(10, int(2 * len(key)).bit_length())
+    slots, value = np.full(1 << bits, _EMPTY), np.zeros(1 << bits, np.float64)
+    at, rest = _slot(key, bits), np.arange(len(key))
+    while len(rest):
+        free = rest[slots[at[rest]] == _EMPTY]
+        _, one = np.unique(at[free], return_index=True)
+        put = free[one]
+        slots[at[put]], value[at[put]] = key[put], logp[put]
+        rest = np.setdiff1d(rest, put, assume_unique=True)
+        at[rest] = (at[rest] + 1) & ((1 << bits) - 1)
+    return {"slots": slots, "value": value}
+
+
+def _slot(key: np.ndarray, bits: int) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _locate(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,18 +178,19 @@ def _locate(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_[at] == wanted
 
 
-def log_probability(model: dict, key: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each key's last byte after its other bytes."""
+def look_up(model: dict, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each key in the hash table, 0 if it has none; and the places of those."""
     slots, value = model["slots"], model["value"]
-    at = _slot(key)
+    bits = len(slots).bit_length() - 1
+    at = _slot(key, bits)
     there = slots[at]
-    out = value[at].astype(np.float64)
+    out = value[at]
     miss = np.flatnonzero(there != key)
     todo = miss[there[miss] != _EMPTY]
     absent = [miss[there[miss] == _EMPTY]]
     at = at[todo]
     while len(todo):
-        at = (at + 1) & ((1 << SLOT_BITS) - 1)
+        at = (at + 1) & (len(slots) - 1)
         there = slots[at]
         hit = there == key[todo]
         out[todo[hit]] = value[at[hit]]
@@ -192,6 +200,12 @@ def log_probability(model: dict, key: np.ndarray) -> np.ndarray:
         todo, at = todo[go], at[go]
     rest = np.sort(np.concatenate(absent))
     out[rest] = 0.0
+    return out, rest
+
+
+def log_probability(model: dict, key: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each key's last byte after its other bytes."""
+    out, rest = look_up(model, key)
     came = np.full(len(rest), -1, np.int64)  # the next longer context, if that was met and left
     for k in range(len(model["orders"]) - 1, -1, -1):
         o = model["orders"][k]
@@ -217,6 +231,43 @@ def log_probability(model: dict, key: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sorted_nodes(k: np.ndarray, key: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    found = []
+    for i in range(ORDER + 1):
+        by = np.argsort(key[k == i])
+        found.append((key[k == i][by].astype(np.int64), n[k == i][by].astype(np.int64)))
+    return found
+
+
+def _window_scores(runs: DataFrame, asked: DataFrame) -> DataFrame:
+    """key and value (log10 of the probability of the last byte) of the distinct keys of ``asked``, by the whole trie ``runs``.
+
+    All contexts that a key meets on its way down, but for those of less than DEAL bytes, end in the same DEAL bytes. So the
+    trie is dealt out by these with the keys, and each part answers for its keys as the whole one would.
+    """
+    spark = runs.sparkSession
+    low = runs.where(F.col("k") < DEAL).toArrow()
+    sent = spark.sparkContext.broadcast([low.column(c).to_numpy() for c in ("k", "key", "n")])
+    last = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * DEAL)) - 1)).alias("last")
+    both = runs.where(F.col("k") >= DEAL).select(last, F.col("k").cast("int").alias("k"), "key", "n")
+    both = both.unionByName(asked.select("key").distinct().select(last, F.lit(-1).alias("k"), "key", F.lit(0).cast("long").alias("n")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), runs.count() // PART_NODES + 1)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [[b.column(c).to_numpy() for c in ("k", "key", "n")] for b in batches]
+        if not rows:
+            return
+        k, key, n = (np.concatenate([r[i] for r in rows]) for i in range(3))
+        wanted = key[k < 0]
+        nodes = [np.concatenate([x, y[k >= 0]]) for x, y in zip(sent.value, (k, key, n), strict=True)]
+        model = trie(_sorted_nodes(*nodes)) if len(nodes[0]) else trie([])
+        for at in range(0, len(wanted), PIECE):
+            w = wanted[at : at + PIECE]
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(log_probability(model, w))], ["key", "value"])
+
+    return both.repartition(parts, "last").mapInArrow(answer, "key long, value double")
+
+
 def with_scores(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, int, int]:
     """Scores of ``docs`` (doc_id, text) by models of ``training`` (text); the training tokens, and how many kinds of them.
 
@@ -225,10 +276,11 @@ def with_scores(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, int, i
     joined by a space, from prediction by partial matching: a trie of byte contexts up to ORDER bytes, with escapes
     and exclusion. ``base_score`` is that of single words with one added to each count.
 
-    Counts of words and of byte runs cover all training texts: each task sums up its part, and a shuffle adds the parts. A
-    bounded part of both goes to all executors: the trie nodes and the words with the greatest counts. The other
-    words of each document are joined with their counts by a shuffle, in which none of them is frequent. So base
-    scores are exact, but for words that share a 64-bit hash.
+    Counts of words and of byte runs cover all training texts: each task sums up its part, and a shuffle adds the parts.
+    What is frequent goes to all executors: words with their counts, longest runs with their probabilities. The other
+    words and runs of each document, each run once with its number, are joined by a shuffle with the counts and with
+    the probabilities by the whole trie; none of them is frequent in training. So both scores are exact, but for words
+    that share a 64-bit hash.
 
     Null texts count as empty: they are an end alone. Repeated rows keep their number; null ids are ids; without
     training texts every byte has 1/256; an empty table gives an empty result; other columns are ignored.
@@ -244,13 +296,11 @@ def with_scores(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, int, i
     masks = F.expr(f"array({', '.join(f'struct({k} as k, {(1 << (8 * (k + 1))) - 1}L as mask)' for k in range(ORDER + 1))})")
     runs = runs.withColumn("m", F.explode(masks)).groupBy(F.col("m.k").alias("k"), F.col("key").bitwiseAND(F.col("m.mask")).alias("key")).agg(F.sum("n").alias("n"))
     runs = staged(runs, "lm-runs")
-    kept = runs.where(F.col("n") >= _at_most(runs, MOST_NODES)).toArrow()
-    k, key, n = (kept.column(c).to_numpy() for c in ("k", "key", "n"))
-    nodes = []
-    for i in range(ORDER + 1):
-        by = np.argsort(key[k == i])
-        nodes.append((key[k == i][by].astype(np.int64), n[k == i][by].astype(np.int64)))
-    model = trie(nodes) if len(key) else trie([])
+    top = runs.where(F.col("k") == ORDER).select("key", "n")
+    kept = top.where(F.col("n") >= _at_most(top, MOST_NODES)).select("key", F.shiftrightunsigned("key", 8).alias("ctx"), (2 * F.col("n") - 1).alias("n"))
+    whole = top.groupBy(F.shiftrightunsigned("key", 8).alias("ctx")).agg((F.sum(2 * F.col("n") - 1) + F.count("*")).alias("whole"))
+    kept = kept.join(whole, "ctx").select("key", (F.log10("n") - F.log10("whole")).alias("value")).toArrow()
+    model = table_of(kept.column("key").to_numpy(), kept.column("value").to_numpy())
     least = _at_most(words, MOST_WORDS)
     often = words.where(F.col("n") >= least).toArrow()
     by = np.argsort(often.column("key").to_numpy())
@@ -273,26 +323,44 @@ def with_scores(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, int, i
             n_known = np.add.reduceat(known.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
             buffer, starts = _stream(texts)
             score = np.zeros(len(texts))
+            rows, runs_ = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for key, places in _windows(buffer):
                 row, valid = _predicted(places, starts)
-                score += np.bincount(row[valid], log_probability(m, key[valid]), len(texts))
+                row, key = row[valid], key[valid]
+                value, absent = look_up(m, key)
+                score += np.bincount(row, value, len(texts))
+                rows.append(row[absent])
+                runs_.append(key[absent])
+            row, key = np.concatenate(rows), np.concatenate(runs_)
+            by = np.lexsort((key, row))
+            row, key = row[by], key[by]
+            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])][: len(row)])
+            times = np.diff(np.r_[new, len(row)])
+            ends = np.r_[0, np.cumsum(np.bincount(row[new], minlength=len(texts)))].astype(np.int32)
             offsets = np.r_[0, np.cumsum(size - n_known)].astype(np.int32)
             rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[~known]))
+            windows = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (key[new], times))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_key"), pa.array(size), pa.array(n_known), pa.array(base), pa.array(score), rare],
-                ["doc_id", "text_key", "n_tokens", "often", "base", "score", "rare"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(size), pa.array(n_known), pa.array(base), pa.array(score), rare, *windows],
+                ["doc_id", "text_key", "n_tokens", "often", "base", "part", "rare", "windows", "times"],
             )
 
-    schema = f"doc_id {kind}, text_key long, n_tokens long, often long, base double, score double, rare array<long>"
+    schema = f"doc_id {kind}, text_key long, n_tokens long, often long, base double, part double, rare array<long>, windows array<long>, times array<long>"
     scored = staged(docs.select("doc_id", row_key(F.col("text")).alias("text_key"), text).mapInArrow(run, schema), "lm-scores")
     asked = scored.where(F.size("rare") > 0).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.explode("rare").alias("key"))
     seldom = asked.join(words.where(F.col("n") < least), "key", "left").groupBy("_id", "_key").agg(
         F.count("n").alias("_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0) - norm).alias("_base")
     )
-    out = scored.join(seldom, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    out = scored.drop("rare", "windows", "times").join(seldom, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    met = scored.where(F.size("windows") > 0).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), F.explode(F.arrays_zip("windows", "times")).alias("w"))
+    met = met.select("w_id", "w_key", F.col("w.windows").alias("key"), F.col("w.times").alias("times"))
+    values = staged(_window_scores(runs, met), "lm-windows")
+    rest = met.join(values, "key").groupBy("w_id", "w_key").agg(F.sum(F.col("times") * F.col("value")).alias("_score"))
+    out = out.join(rest, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")), "left")
     out = out.select(
         "doc_id", "text_key", "n_tokens", (F.col("often") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
+        (F.col("part") + F.coalesce("_score", F.lit(0.0))).alias("score"),
     )
     return out, tokens, kinds
 
