@@ -270,6 +270,17 @@ def test_main_text():
     assert htmltext.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_main_text_is_whole():
+    p = lambda name, n: f"<p>{(name + ' ') * (n // (len(name) + 1))}</p>"
+    parts = "<h1>Head</h1>" + p("lead", 300) + f"<div>{p('body', 300) * 10}</div><div>{p('more', 150) * 5}</div><section><h2>Sub</h2><ul><li>first point</li><li>second point</li></ul></section>bare text"
+    links = "<div>" + "".join(f"<a href={i}>Other story {i}</a> " for i in range(20)) + "</div>"
+    for page in (f"<article>{parts}<aside>Side</aside></article>", f"<main>{parts}<nav>Side</nav></main>", f"<div>{parts}<div class='sidebar'>Side</div></div>"):
+        got = htmltext.main_text(f"<html><body>{links}{page}{links}</body></html>")
+        words = Counter(got.split())
+        assert (words["lead"], words["body"], words["more"]) == (60, 600, 150)
+        assert all(x in got for x in ("Head", "Sub", "first point", "second point", "bare text")) and "Side" not in got and "Other" not in got
+
+
 def test_toxic_words(spark):
     rng = random.Random(7)
     docs = []

@@ -133,14 +133,20 @@ def _order(root: Node) -> list[Node]:
     return found
 
 
+def _running(part: Node | str) -> bool:
+    """Whether a part is running text, or none of the text at all: not mostly links."""
+    return isinstance(part, str) or part.out or 2 * part.link_chars <= part.chars
+
+
 def main_text(page: str) -> str:
     """The main text of a page: its blocks in page order, joined by newlines.
 
     Every node gets the composite text density of its characters per tag, which falls with the share of characters and
     tags that are links (Sun, Song and Liao, 2011). The densities of a node's children are summed, and the node with
-    the greatest sum roots the main text. The least density on the path from it up to the body is the threshold: of
-    the root's ancestors' other children only those that reach it as running text, with more characters than a tenth
-    of the root's, join it.
+    the greatest sum is the core. The main text is all of the article around the core, else of the main element, else of
+    the core, and of every element around that whose other parts are running text too. The least density on the path
+    from there up to the body is the threshold: other children of those ancestors that reach it join the main text.
+    Elements outside the main text stay out wherever they are.
     """
     root = parse(page)
     nodes = _order(root)
@@ -169,6 +175,15 @@ def main_text(page: str) -> str:
             best, most = n, n.total
     while best.parent is not None and best.tag not in BLOCK:
         best = best.parent
+    named = best
+    up = best.parent
+    while up is not None:
+        if up.tag == "article" or up.tag == "main" and named.tag != "article":
+            named = up
+        up = up.parent
+    best = named
+    while best.parent is not None and all(_running(p) for p in best.parent.parts if p is not best):
+        best = best.parent
     threshold, up = best.density, best
     while up.parent is not None:
         up = up.parent
@@ -177,9 +192,9 @@ def main_text(page: str) -> str:
     side, up = best, best.parent
     while up is not None:
         for p in up.parts:
-            if isinstance(p, Node) and not p.out and p is not side and p.chars - p.link_chars >= 0.1 * best.chars and p.density >= threshold:
-                kept.add(id(p))
-            elif isinstance(p, Node) and not p.out and p.tag in HEADINGS and side.tag not in HEADINGS:
+            if isinstance(p, str) or p.out or p is side:
+                continue
+            if p.chars > p.link_chars and p.density >= threshold or p.tag in HEADINGS and side.tag not in HEADINGS:
                 kept.add(id(p))
         side, up = up, up.parent
     blocks: list[str] = []
