@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import row_key, table
+from webloom.llm.common import packed, row_key, table
 
 #: The base patterns of the contract, in its order: kind, pattern, group that is measured, fewest characters of it.
 BASE = (
@@ -13,14 +13,17 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-#: Weak parts: alone they are no finding. Identifiers, key-like tokens of mixed characters, and endpoints.
+#: Weak parts: alone they are no finding. Identifiers, key-like tokens of mixed characters, and endpoints. Repeats are of
+#: single character classes only, and no search looks far back or ahead without a match, so long texts take linear time.
 IDENT = r"""(?i)\b(?:user(?:name|_?id)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""
-ENDPOINT = r"""(?i)\b(?:[a-z][a-z0-9+.-]*://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9-]+(?:\.[a-z0-9-]+)+(?::[0-9]+)?)"""
+ENDPOINT = r"""(?i)\b(?:[a-z][a-z0-9+.-]{0,31}://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9-]+\.[a-z0-9.-]*[a-z0-9](?::[0-9]+)?)"""
 KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}"
 WEAK = (("ident", IDENT), ("key", KEY), ("endpoint", ENDPOINT))
 KINDS = tuple(k for k, *_ in BASE) + tuple(k for k, _ in WEAK)
 #: Parts of a credential are linked if their spans are at most so many code points apart.
 REACH = 300
+#: Code points of a chunk, when texts are masked.
+CHUNK = 1024
 
 
 def _found(text: Column, kind: int, pattern: str, group: int, least: int, where: Column) -> Column:
@@ -39,9 +42,10 @@ def _found(text: Column, kind: int, pattern: str, group: int, least: int, where:
 
 
 def secret_spans(docs: DataFrame, *, reach: int = REACH) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, text_key, spans array<struct<start, rank, kind, end>>.
+    """One row for each row of ``docs`` (doc_id, text): doc_id, text_key, spans array<struct<start, rank, kind, end, reached>>.
 
-    Spans are code points, end exclusive, sorted by start, then by kind in the order of ``KINDS``. Kinds of ``BASE``
+    Spans are code points, end exclusive, sorted by start, then by kind in the order of ``KINDS``; ``reached`` is the
+    greatest end of the spans before. Kinds of ``BASE``
     are always reported. A weak part is reported only where the parts that complete it lie within ``reach`` code
     points: an ident with a secret (assign, hex or key), a key with an identifier (access or ident) or an endpoint,
     an endpoint with an identifier and a secret.
@@ -74,23 +78,26 @@ def secret_spans(docs: DataFrame, *, reach: int = REACH) -> DataFrame:
     number = {k: i for i, k in enumerate(KINDS)}
     classes = {"id": ("access", "ident"), "secret": ("assign", "hex", "key"), "endpoint": ("endpoint",)}
     along = Window.partitionBy("doc_id", "text_key").orderBy("start", "kind")
-    before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
-    near = {}
+    back = Window.partitionBy("doc_id", "text_key").orderBy(F.col("start").desc(), F.col("kind").desc())
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (along, back))
     for name, kinds in classes.items():
         own = F.col("kind").isin([number[k] for k in kinds])
-        left = F.max(F.when(own, F.col("end"))).over(before)
-        right = F.min(F.when(own, F.col("start"))).over(after)
-        near[f"near_{name}"] = F.coalesce(F.col("start") - left <= reach, F.lit(False)) | F.coalesce(right - F.col("end") <= reach, F.lit(False))
-    rows = rows.withColumns(near)
+        rows = rows.withColumn(f"left_{name}", F.max(F.when(own, F.col("end"))).over(before))
+    for name, kinds in classes.items():
+        own = F.col("kind").isin([number[k] for k in kinds])
+        rows = rows.withColumn(f"right_{name}", F.min(F.when(own, F.col("start"))).over(after))
+    for name in classes:
+        left, right = F.col("start") - F.col(f"left_{name}") <= reach, F.col(f"right_{name}") - F.col("end") <= reach
+        rows = rows.withColumn(f"near_{name}", F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False)))
     keep = (
         F.when(F.col("kind") == number["ident"], F.col("near_secret"))
         .when(F.col("kind") == number["key"], F.col("near_id") | F.col("near_endpoint"))
         .when(F.col("kind") == number["endpoint"], F.col("near_id") & F.col("near_secret"))
         .otherwise(F.lit(True))
     )
-    rows = rows.where(keep)
+    rows = rows.where(keep).withColumn("reached", F.coalesce(F.max(F.when(F.col("kind") >= 0, F.col("end"))).over(before), F.lit(0).cast("long")))
     names = F.array(*[F.lit(k) for k in KINDS])
-    span = F.struct("start", F.col("kind").alias("rank"), F.element_at(names, F.col("kind") + 1).alias("kind"), "end")
+    span = F.struct("start", F.col("kind").alias("rank"), F.element_at(names, F.col("kind") + 1).alias("kind"), "end", "reached")
     per = rows.groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_list(F.when(F.col("kind") >= 0, span))).alias("spans"),
         F.max(F.when(F.col("kind") < 0, F.col("times"))).alias("times"),
@@ -106,27 +113,34 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, mask: str = "[SECRET]", *, reach: int = REACH) -> DataFrame:
     """``docs`` (doc_id, text, n_chars and any others) with every reported span of the text replaced by ``mask``.
 
-    Overlapping spans are replaced together. Rows without spans, null texts among them, stay as they are.
+    Overlapping spans are replaced together. Rows without spans, null texts among them, stay as they are; n_chars, where
+    there is one, is that of the new text. Repeated rows keep their number, null ids are an id of their own, and all other
+    columns come back as they are, whatever their names; an empty table gives an empty result.
     """
     spans = secret_spans(docs.select("doc_id", "text"), reach=reach).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_text_key", row_key(F.col("text")))
-    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        fresh = F.concat(acc["done"], gap, F.lit(mask))
-        return F.struct(F.when(x["start"] >= acc["at"], fresh).otherwise(acc["done"]).alias("done"), F.greatest(acc["at"], x["end"]).alias("at"))
-
-    def close(acc: Column) -> Column:
-        return F.concat(acc["done"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", start, step, close))
-    out = joined.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    keyed = docs.select(packed(docs).alias("row")).withColumn("_text_key", row_key(F.col("row.text")))
+    joined = keyed.join(spans, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+    text = F.col("row.text")
+    # Texts are cut into chunks, so that a part of a long text is found without a walk from its beginning.
+    joined = joined.withColumn("_chunks", F.when(F.col("_spans").isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+
+    def part(start: Column, end: Column) -> Column:
+        one, two = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+        head = F.substring(F.try_element_at("_chunks", one + 1), (start % CHUNK + 1).cast("int"), F.when(one == two, (end - start).cast("int")).otherwise(CHUNK))
+        tail = F.when(two > one, F.concat(F.array_join(F.slice("_chunks", one + 2, two - one - 1), ""), F.coalesce(F.substring(F.try_element_at("_chunks", two + 1), F.lit(1), (end % CHUNK).cast("int")), F.lit(""))))
+        return F.concat(F.coalesce(head, F.lit("")), F.coalesce(tail, F.lit("")))
+
+    apart = F.filter("_spans", lambda x: x["start"] >= x["reached"])
+    last = F.greatest(F.element_at("_spans", -1)["reached"], F.element_at("_spans", -1)["end"])
+    pieces = F.concat(F.transform(apart, lambda x: F.concat(part(x["reached"], x["start"]), F.lit(mask))), F.array(part(last, F.length(text).cast("long"))))
+    clean = F.when(F.col("_spans").isNull(), text).otherwise(F.array_join(pieces, ""))
+    fields = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    joined = joined.withColumn("_clean", clean)
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(F.col("_spans").isNull(), fields["n_chars"]).otherwise(F.length("_clean").cast(docs.schema["n_chars"].dataType))
+    fields["text"] = F.col("_clean")
+    return joined.select(*[v.alias(c) for c, v in fields.items()])
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
