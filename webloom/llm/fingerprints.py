@@ -7,14 +7,16 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import GAP, staged, table
+from webloom.llm.common import GAP, free_names, staged, table
 
 #: Bins, bits kept of each, words of a shingle.
 BINS, BITS, WIDTH = 128, 4, 5
 #: Probes of a densified bin that are tried one by one; those that find nothing look at all bins.
 PROBES = 16
-#: Documents of a block of neighbouring ids, until there are so many blocks; then blocks grow.
-BLOCK_DOCS, MOST_BLOCKS = 64, 1 << 17
+#: Documents of a block of neighbouring ids, about, until there are so many blocks; then blocks grow.
+BLOCK_DOCS, MOST_BLOCKS = 64, 1 << 13
+#: Ids from which the bounds of blocks are taken, about; they only place rows in blocks.
+IDS = 1 << 20
 
 
 def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
@@ -91,33 +93,61 @@ def likeness(a: Column, b: Column, *, bits: int = BITS) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), (same / F.size(a) - chance) / (1 - chance)))
 
 
+def _rank(kind: str, doc_id: Column) -> Column:
+    """A double that does not fall from one id to the next: the number itself, or what the first six bytes of a string are."""
+    if kind == "string":
+        return F.conv(F.hex(F.rpad(F.substring(doc_id.cast("binary"), 1, 6), 6, F.lit(b"\0"))), 16, 10).cast("double")
+    if kind in ("date", "timestamp"):
+        return F.unix_timestamp(doc_id.cast("timestamp")).cast("double")
+    return doc_id.cast("double")
+
+
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """``docs`` with next_<column> for each of ``carried``: the values of the row that follows by ascending doc_id.
 
-    The last row is followed by the first; null ids come last; rows of one id follow by their carried values. Ids are
-    dealt to blocks of equal width, and the first row of each block is also sent to the block before it, so blocks are
-    sorted apart and each text is shuffled once. Only one row per block, of which there are at most ``MOST_BLOCKS``, is
-    ever in one place. Ids that crowd in a few places make large blocks, which are sorted on disk.
+    The last row is followed by the first; null ids come last; rows of one id, or of none, follow by a hash of their
+    carried values. Ids are dealt to blocks by their quantiles (numbers, dates and strings alike, however far apart),
+    null ids by that hash, and the first row of each block is also sent to the block before it, so blocks are sorted
+    apart and each text is shuffled once. Only one row per block, of which there are at most ``MOST_BLOCKS``, is ever in
+    one place. Columns of ``docs`` keep their names and values, but for columns that are called next_<column> already:
+    these are replaced. An empty table gives an empty result.
     """
-    low, high, rows, lost = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.sum(F.col("doc_id").isNull().cast("long"))).first()
+    docs = docs.drop(*[f"next_{c}" for c in carried])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    block, tie, head, extra = free_names(docs, "block", "tie", "head", "extra")
+    rank = _rank(kind, F.col("doc_id"))
+    rows, lost = docs.agg(F.count("*"), F.sum(F.col("doc_id").isNull().cast("long"))).first()
     if not rows:
         return docs.withColumns({f"next_{c}": F.lit(None).cast(docs.schema[c].dataType) for c in carried})
-    blocks = max(1, min(MOST_BLOCKS, rows // BLOCK_DOCS))
-    wide = ((high - low) // blocks + 1) if low is not None else 1
-    block = F.when(F.col("doc_id").isNull(), F.lit(blocks)).otherwise(F.expr(f"(doc_id - {low or 0}L) div {wide}L"))
-    used = Window.orderBy("block")
-    heads = docs.groupBy(block.alias("block")).agg(F.min("doc_id").alias("head"))
-    heads = heads.withColumn("to", F.lag("block").over(used)).withColumn("wraps", F.col("to").isNull()).withColumn("last", F.max("block").over(Window.partitionBy()))
-    heads = F.broadcast(staged(heads.select(F.col("block").alias("b_"), "head", F.coalesce("to", "last").alias("to"), "wraps"), "blocks"))
-    kept = docs.withColumn("block", block).join(heads, (F.col("block") == F.col("b_")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    # A row is sent to its own block, and if it has the least id of it, as a stand-in to the block before.
-    copies = F.when(F.col("b_").isNull(), F.array(F.struct("block", F.lit(0).alias("extra")))).otherwise(
-        F.array(F.struct("block", F.lit(0).alias("extra")), F.struct(F.col("to").alias("block"), F.lit(1).alias("extra")))
-    )
-    sent = kept.withColumn("c_", F.explode(copies)).withColumn("block", F.col("c_.block")).withColumn("extra", F.col("c_.extra"))
-    along = Window.partitionBy("block").orderBy("extra", F.col("doc_id").asc_nulls_last(), *carried)
+    cuts = max(0, min(MOST_BLOCKS, (rows - lost) // BLOCK_DOCS) - 1)
+    bounds: list[float] = []
+    if cuts:
+        shares = F.expr(f"array({', '.join(f'{i / (cuts + 1)!r}D' for i in range(1, cuts + 1))})")
+        some = docs.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 34) < min(1.0, IDS / rows) * (1 << 30))
+        bounds = some.agg(F.percentile_approx(rank, shares, 4 * (cuts + 1))).first()[0] or []
+    sorted_ = F.expr(f"array({', '.join(f'{b!r}D' for b in bounds)})") if bounds else None
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+
+    def further(low: Column, step: Column) -> Column:
+        return F.when(F.when(low + step <= len(bounds), F.element_at(sorted_, low + step) <= rank), low + step).otherwise(low)
+
+    named = F.aggregate(steps, F.lit(0), further) if bounds else F.lit(0)
+    unnamed = min(MOST_BLOCKS, lost // BLOCK_DOCS) + 1
+    keyed = docs.withColumn(tie, F.xxhash64(*carried))
+    keyed = keyed.withColumn(block, F.when(F.col("doc_id").isNotNull(), named).otherwise((F.shiftrightunsigned(F.col(tie).bitwiseXOR(F.lit(-(1 << 63))), 40) * unnamed / (1 << 24)).cast("int") + len(bounds) + 1))
+    used = Window.orderBy("b_")
+    heads = keyed.groupBy(F.col(block).alias("b_")).agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col(tie).alias("tie"))).alias("h"))
+    heads = heads.withColumn("to", F.lag("b_").over(used)).withColumn("last", F.max("b_").over(Window.partitionBy()))
+    heads = heads.select("b_", F.struct("h.id", "h.tie", F.coalesce("to", "last").alias("to")).alias(head))
+    kept = keyed.join(F.broadcast(staged(heads, "blocks")), F.col(block) == F.col("b_"), "left")
+    # A row is sent to its own block, and if it is the least of it, as a stand-in to the block before.
+    is_head = F.col("doc_id").eqNullSafe(F.col(f"{head}.id")) & (F.col(tie) == F.col(f"{head}.tie"))
+    own = F.struct(F.col(block).alias("b"), F.lit(0).alias("x"))
+    places = F.when(is_head, F.array(own, F.struct(F.col(f"{head}.to").alias("b"), F.lit(1).alias("x")))).otherwise(F.array(own))
+    sent = kept.withColumn(extra, F.explode(places)).withColumn(block, F.col(f"{extra}.b")).withColumn(extra, F.col(f"{extra}.x"))
+    along = Window.partitionBy(block).orderBy(extra, F.col("doc_id").asc_nulls_last(), tie)
     out = sent.withColumns({f"next_{c}": F.lead(c).over(along) for c in carried})
-    return out.where("extra = 0").select(*docs.columns, *[f"next_{c}" for c in carried])
+    return out.where(F.col(extra) == 0).select(*[F.col(f"`{c}`") for c in docs.columns], *[f"next_{c}" for c in carried])
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
