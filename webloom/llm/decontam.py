@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_rows, row_key, table
+from webloom.llm.common import few_texts, row_key, table
 
 #: Seeds: words at 1 must agree, words at 0 may differ. Four fixed masks of six words each.
 MASKS = ("1110111", "11010101011", "1100101101001", "10110010001101")
@@ -119,7 +119,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_id is returned as null; empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     doc, item = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id")))
     schema = f"doc_id {doc}, text_key long, item_id {item}, first_word long, end_word long, agreeing long"
     names = [x.split(" ")[0] for x in schema.split(", ")]
@@ -133,7 +132,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = object.__new__(Index)
             vars(index).update(sent.value)
-            for b in batches:
+            for b in few_texts(batches):
                 rows = [(i, *x) for i, t in enumerate(b.column("text")) for x in index.overlaps(t.as_py() or "")]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 kinds = [None, None, item_type, *types[3:]]

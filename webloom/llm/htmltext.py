@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_rows, table
+from webloom.llm.common import few_texts, table
 
 #: Elements without an end tag, elements whose content is not markup, and what ends an open element by starting.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -234,10 +234,9 @@ def with_main_text(pages: DataFrame) -> DataFrame:
     Null, empty and textless pages give an empty text. Pages are read whole, one by one, without a shuffle; repeated
     rows keep their number; nulls in other columns stay; an empty table gives an empty result; other columns are left out.
     """
-    arrow_rows(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_texts(batches, "html"):
             texts = [main_text(t.as_py() or "") for t in b.column("html")]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_rows, fold, small_side, table
+from webloom.llm.common import few_texts, fold, small_side, table
 
 #: Buckets of hashed subwords, size of an embedding, training rows of a language at most (about), passes over them.
 BUCKETS, SIZE, PER_LANGUAGE, PASSES = 1 << 14, 16, 1000, 5
@@ -40,7 +40,7 @@ def _counts(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(language, buckets, counts) of the rows of a bounded sample; counted on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_texts(batches):
             made = []
             for t in b.column("text"):
                 total = np.zeros(BUCKETS, np.int64)
@@ -62,7 +62,6 @@ def train(docs: DataFrame, *, seed: int = 42, rate: float = 2.0) -> dict:
     both is kept, as one score per bucket and language. A tenth of the sample is left out: on it the temperature is set
     that makes the scores likeliest, and the level under which 1 % of its right answers fall is the rejection level.
     """
-    arrow_rows(docs.sparkSession)
     named = docs.where("lang is not null")
     sizes = named.groupBy("lang").count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / (1 << 30)
@@ -120,13 +119,12 @@ def with_language(docs: DataFrame, model: dict, *, reject: bool = True) -> DataF
     ``und``, with score 0, and so is everything if no language was learned. The whole text is read, once, without a
     shuffle; other columns come back as they are; an empty table gives an empty result.
     """
-    arrow_rows(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         table_, labels = m["scores"], m["labels"]
-        for b in batches:
+        for b in few_texts(batches):
             names, scores, sure = [], [], []
             for t in b.column("text"):
                 text = t.as_py() or ""

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_rows, fold, row_key, staged, table
+from webloom.llm.common import few_texts, fold, row_key, staged, table
 
 #: Bytes of the longest context.
 ORDER = 5
@@ -77,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter = Counter()
     keys: list[np.ndarray] = []
     ns: list[np.ndarray] = []
-    for b in batches:
+    for b in few_texts(batches):
         texts = [(t.as_py() or "").encode().lower().split() for t in b.column("text")]
         for t in texts:
             words.update(t)
@@ -286,7 +286,6 @@ def with_scores(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, int, i
     training texts every byte has 1/256; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     text = F.col("text").cast("string").alias("text")
     counts = training.select(text).mapInArrow(_count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = staged(counts, "lm-counts")
@@ -312,7 +311,7 @@ def with_scores(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, int, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
+        for b in few_texts(batches):
             texts = [(t.as_py() or "").encode().lower().split() for t in b.column("text")]
             size = np.array([len(t) + 1 for t in texts], np.int64)
             hashes = np.fromiter((h for t in texts for part in (t, (_END,)) for h in map(xxhash.xxh64_intdigest, part, repeat(42))), np.uint64, int(size.sum())).view(np.int64)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_rows, staged, table
+from webloom.llm.common import few_texts, staged, table
 
 #: Fingerprints with at most so many differing bits are linked. The balls below are those of this radius.
 RADIUS = 3
@@ -46,10 +46,9 @@ def simhash(raw: bytes, width: int = 3) -> int:
 
 def with_simhash(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id and fingerprint (the 64 bits as a long) of every row of ``docs``; a null text counts as empty."""
-    arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_texts(batches):
             prints = np.array([simhash((t.as_py() or "").encode(), width) for t in b.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
 
@@ -219,10 +218,9 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def with_bands(docs: DataFrame) -> DataFrame:
     """doc_id, n (distinct shingles), whole (a hash of their set) and keys (of the bands) of the rows of ``docs`` with an id and any word."""
-    arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_texts(batches):
             sets = [shingle_set(t.as_py().encode()) for t in b.column("text")]
             keys = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
             whole = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
@@ -235,7 +233,7 @@ def with_bands(docs: DataFrame) -> DataFrame:
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) whose texts have a Jaccard similarity of ALIKE or more."""
-    for batch in batches:
+    for batch in few_texts(batches, "text_a"):
         keep = []
         for x, y in zip(batch.column("text_a"), batch.column("text_b")):
             one, two = shingle_set(x.as_py().encode()), shingle_set(y.as_py().encode())
@@ -284,7 +282,7 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
 
 def _rare_first(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(shingle, n, rest, group, doc_id): of each text the shingles, rare ones first, that a partner must share one of; and how many are not before it."""
-    for b in batches:
+    for b in few_texts(batches):
         made, size = [], []
         for t in b.column("text"):
             hashes = shingle_set(t.as_py().encode())
@@ -357,7 +355,7 @@ def crowded_links(docs: DataFrame, bands: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(CELLS, np.int64)
-        for b in batches:
+        for b in few_texts(batches):
             for t in b.column("text"):
                 np.add.at(found, _cells(shingle_set(t.as_py().encode())), 1)
         some = np.flatnonzero(found)

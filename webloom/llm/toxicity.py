@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_rows, fold, staged, table
+from webloom.llm.common import few_texts, fold, staged, table
 
 #: Training rows at most, about: confirmed toxic ones, and unlabelled ones. A hash of the row picks them.
 POSITIVES, UNLABELLED = 4000, 10_000
@@ -65,7 +65,7 @@ def _with_features(docs: DataFrame) -> DataFrame:
     """toxic and features (array<string>) of rows (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_texts(batches):
             found = [sorted(features(set(_WORDS.findall((t.as_py() or "").lower())))) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["toxic", "features"])
 
@@ -87,7 +87,6 @@ def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None) ->
     POSITIVES rows are taken, by a hash of the row. ``prior``, the share of toxic texts, is that of the labelled rows
     unless given. Without any confirmed text nothing is toxic.
     """
-    arrow_rows(docs.sparkSession)
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     seen = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rows = docs.count()
@@ -121,13 +120,12 @@ def with_score(docs: DataFrame, model: tuple[dict[str, float], float], *, cut: f
     The whole text is read, once, without a shuffle. Null and wordless texts have the score of the intercept alone.
     Other columns come back as they are; an empty table gives an empty result.
     """
-    arrow_rows(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = sent.value
         starts = {f.partition("-")[0] for f in weight if "-" in f}
-        for b in batches:
+        for b in few_texts(batches):
             scores = []
             for t in b.column("text"):
                 words = set(_WORDS.findall((t.as_py() or "").lower()))
