@@ -15,7 +15,7 @@ from webloom.llm.common import few_texts, table
 
 #: Elements without an end tag, elements whose content is not markup, and what ends an open element by starting.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe noframes noembed object svg math canvas audio video textarea title select".split())
+RAW = frozenset("script style noscript template iframe noframes noembed object svg canvas audio video textarea title select".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -24,90 +24,100 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",),
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An end tag or an implied end reaches up to one of these, not beyond.
 SCOPE = frozenset("html body table td th article section main div ul ol dl aside nav header footer form".split())
-#: Elements that are never main text, and words of class, id and role that say so.
+#: Elements that are never main text, and words of class, id and role that say so of small elements.
 OUTSIDE = frozenset("nav aside footer form button dialog menu".split())
 _OUTSIDE = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|ads?|adverts?|advertisement|banner|promo|sponsor(?:ed)?|"
-    r"cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|share|sharing|social|related|comments?|disqus|complementary|contentinfo|search)(?:[\s_-]|$)",
+    r"cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|share|sharing|social|related|comments?|disqus|complementary|contentinfo|search)(?=[\s_-]|$)",
     re.I,
 )
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus)(?=[\s_-]|$)", re.I)
+#: Names that speak of another element: with-sidebar, comments-enabled.
+_ABOUT = re.compile(r"(?:^|(?<=\s))(?:(?:with|without|has|no|show|hide|is)[_-]\S+|\S+[_-](?:enabled|disabled|open|closed|on|off|results|visible))(?=\s|$)", re.I)
 _ALLOWED = re.compile(r"(?:^|\s)(?:article|post|content|main)(?:[\s_-]|$)", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "out", "soft", "core", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, out: bool, soft: str = ""):
+        self.tag, self.parent, self.out, self.soft = tag, parent, out, soft
         self.parts: list[Node | str] = []
         if parent is not None:
             parent.parts.append(self)
 
 
-def _out(tag: str, attributes: str, parent: Node) -> bool:
-    """Whether an element is outside the main text by its name or by what its attributes call it."""
-    if tag in OUTSIDE or tag in RAW or tag == "head":
-        return True
-    if tag == "header":  # the header of an article holds its heading
-        up: Node | None = parent
-        while up is not None and up.tag != "article":
-            up = up.parent
-        if up is None:
-            return True
+def _outside(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
+    """Whether an element is outside the main text by what it is, and what its attributes call it if that says so too."""
+    if tag in OUTSIDE or tag in RAW or tag == "head" or tag == "header" and not in_article:  # an article's header holds its heading
+        return True, ""
     if attributes and tag not in ("html", "body", "article", "main"):
         for m in _ATTR.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True
-            if name in ("class", "id", "role") and _OUTSIDE.search(value) and not (name != "role" and _ALLOWED.search(value)):
-                return True
-    return False
+                return True, ""
+            if name in ("class", "id", "role"):
+                named = value if name == "role" else _ABOUT.sub("", value)
+                if _OUTSIDE.search(named) and not (name != "role" and _ALLOWED.search(named)):
+                    return False, "comments" if _COMMENTS.search(named) else "named"
+    elif attributes and tag == "article" and _COMMENTS.search(" ".join(m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes))):
+        return False, "comments"
+    return False, ""
 
 
 def parse(page: str) -> Node:
-    """The tree of a page, with implied and missing end tags put in. Text of elements that hold no markup is left out."""
+    """The tree of a page, with implied and missing end tags put in. Text of elements that hold no markup is left out.
+
+    The open elements are also kept by tag, so that no end tag has to look for its element.
+    """
     root = Node("html", None, False)
-    at, here, low = 0, root, None
-    body = root
+    chain: list[Node] = [root]
+    opened: dict[str, list[int]] = {"html": [0]}
+    scopes: list[int] = [0]
+    at, low = 0, None
+
+    def close(to: int) -> None:
+        while len(chain) > max(1, to):
+            tag = chain.pop().tag
+            opened[tag].pop()
+            if tag in SCOPE:
+                scopes.pop()
+
+    def reach(tag: str, anywhere: bool) -> int:
+        """Where the last open element of a tag is that an end can reach, or 0."""
+        last = opened.get(tag)
+        return last[-1] if last and (anywhere or last[-1] >= scopes[-1]) else 0
+
     while True:
         m = _TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
-            here.parts.append(text)
+            chain[-1].parts.append(text)
         if not m:
             return root
         at = m.end()
         if not (tag := m[2]):
             continue
         tag = tag.lower()
-        if m[1]:
-            up: Node | None = here
-            while up is not None and up.tag != tag:
-                up = None if up.tag in SCOPE and tag not in BLOCK else up.parent
-            if up is not None and up.parent is not None and tag not in ("html", "body"):
-                here = up.parent
-            elif tag == "p" and up is None:
-                Node("p", here, False)
-            continue
         if tag in ("html", "body"):
-            if tag == "body":
-                while here.parent is not None:
-                    here = here.parent
-                body = here
+            if tag == "body" and not m[1]:
+                close(1)
+            continue
+        if m[1]:
+            if up := reach(tag, tag in BLOCK):
+                close(up)
+            elif tag == "p":
+                Node("p", chain[-1], False)
             continue
-        ends = CLOSES.get(tag) or (("p",) if tag in BLOCK else ())
-        if tag in BLOCK and tag not in CLOSES or tag in CLOSES:
-            for end in {*ends, *(("p",) if tag in BLOCK else ())}:
-                up = here
-                while up is not None and up.tag != end:
-                    up = None if up.tag in SCOPE else up.parent
-                if up is not None and up.parent is not None:
-                    here = up.parent
-        if tag in HEADINGS and here.tag in HEADINGS and here.parent is not None:
-            here = here.parent
+        for end in {*CLOSES.get(tag, ()), *(("p",) if tag in BLOCK else ())}:
+            if up := reach(end, False):
+                close(up)
+        if tag in HEADINGS and chain[-1].tag in HEADINGS:
+            close(len(chain) - 1)
+        here = chain[-1]
         if tag in RAW:
             low = page.lower() if low is None else low
             end = low.find(f"</{tag}", at)
@@ -118,9 +128,33 @@ def parse(page: str) -> Node:
                 continue
             at = page.find(">", end) + 1 or len(page)
             continue
-        node = Node(tag, here, here.out or _out(tag, m[3], here))
+        out, soft = _outside(tag, m[3], bool(opened.get("article")))
+        node = Node(tag, here, here.out or out, soft)
         if tag not in VOID and not m[3].rstrip().endswith("/"):
-            here = node
+            opened.setdefault(tag, []).append(len(chain))
+            if tag in SCOPE:
+                scopes.append(len(chain))
+            chain.append(node)
+
+
+def _leave_out(root: Node) -> None:
+    """Puts elements outside that are called so, unless they hold the main text.
+
+    One that holds the page's main element stays in; so does, if it is not called comments, one that holds an article or half
+    of the text.
+    """
+    nodes = _order(root)
+    for n in reversed(nodes):
+        n.chars, n.core = 0, 2 if n.tag == "main" else int(n.tag == "article" and not n.soft)
+        for p in n.parts:
+            if isinstance(p, str):
+                n.chars += len(p.strip())
+            elif not p.out:
+                n.chars += p.chars
+                n.core = max(n.core, p.core)
+    for n in nodes:
+        if n.soft and n.core < 2 and (n.soft == "comments" or not n.core and 2 * n.chars < root.chars):
+            n.out = True
 
 
 def _order(root: Node) -> list[Node]:
@@ -149,6 +183,7 @@ def main_text(page: str) -> str:
     Elements outside the main text stay out wherever they are.
     """
     root = parse(page)
+    _leave_out(root)
     nodes = _order(root)
     for n in reversed(nodes):
         n.chars = n.tags = n.link_chars = n.link_tags = 0
@@ -214,7 +249,7 @@ def main_text(page: str) -> str:
             if inside:
                 line.append(item)
         elif item.out:
-            if item.tag not in ("button", "svg", "math", "select"):
+            if item.tag not in ("button", "svg", "select"):
                 end()
         elif item.tag == "br":
             line.append(" ")
