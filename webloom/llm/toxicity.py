@@ -84,19 +84,20 @@ def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None) ->
     """A classifier from ``docs`` (doc_id, text) and the ids that ``labels`` (doc_id, toxic) confirms as toxic.
 
     All of ``docs`` are the unlabelled texts; of them and of the confirmed ones, samples of about UNLABELLED and
-    POSITIVES rows are taken, by a hash of the row. ``prior``, the share of toxic texts, is that of the labelled rows
-    unless given. Without any confirmed text nothing is toxic.
+    POSITIVES rows are taken, by a hash of the row; repeated rows count once in them. ``prior``, the share of toxic texts,
+    is that of the labelled rows unless given. Labels without an id or a mark are passed over, and of several marks of one
+    id the greatest counts; null and empty texts are texts without a feature. Without any confirmed text nothing is toxic.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    seen = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    seen = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") >= 1).cast("int")), F.lit(0))).first()
     rows = docs.count()
     if not seen[1] or not rows:
         return {}, -5.0
     prior = min(0.9, max(0.005, seen[1] / seen[0])) if prior is None else prior
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / (1 << 30)
-    toxic = marks.where("toxic = 1").where(draw < POSITIVES / seen[1]).select("doc_id").limit(2 * POSITIVES)
-    positive = docs.join(toxic, "doc_id", "left_semi").select("text", F.lit(1).alias("toxic"))
-    unlabelled = docs.where(draw < UNLABELLED / rows).limit(2 * UNLABELLED).select("text", F.lit(0).alias("toxic"))
+    draw = lambda *of: F.pmod(F.xxhash64(*of, F.lit(7)), F.lit(1 << 30)) / (1 << 30)
+    toxic = marks.where("toxic >= 1").where(draw("doc_id") < POSITIVES / seen[1]).select("doc_id")
+    positive = docs.join(toxic, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("text", F.lit(1).alias("toxic"))
+    unlabelled = docs.where(draw("doc_id", "text") < UNLABELLED / rows).dropDuplicates(["doc_id", "text"]).select("text", F.lit(0).alias("toxic"))
     sample = staged(_with_features(positive.unionByName(unlabelled)), "toxicity-sample")
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     vocabulary = _vocabulary(sample, n.get(1, 0), n.get(0, 0))
@@ -114,11 +115,12 @@ def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None) ->
     return dict(zip(vocabulary, map(float, weights), strict=True)), bias
 
 
-def with_score(docs: DataFrame, model: tuple[dict[str, float], float], *, cut: float = CUT) -> DataFrame:
-    """``docs`` with toxicity (0 to 1) and toxic (1 if that is ``cut`` or more).
+def with_score(docs: DataFrame, model: tuple[dict[str, float], float], *, cut: float = CUT, score: str = "toxicity", flag: str = "toxic") -> DataFrame:
+    """``docs`` with the columns ``score`` (0 to 1) and ``flag`` (1 if that is ``cut`` or more).
 
     The whole text is read, once, without a shuffle. Null and wordless texts have the score of the intercept alone.
-    Other columns come back as they are; an empty table gives an empty result.
+    Repeated rows keep their number. Other columns come back as they are; columns of these two names are replaced (name
+    them otherwise to keep such columns); an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -131,11 +133,11 @@ def with_score(docs: DataFrame, model: tuple[dict[str, float], float], *, cut: f
                 words = set(_WORDS.findall((t.as_py() or "").lower()))
                 have = features({w for w in words if w in weight or w[:START] in starts}) & weight.keys()
                 scores.append(1 / (1 + np.exp(-np.clip(bias + sum(weight[f] for f in sorted(have)), -50, 50))))
-            score = np.array(scores, float)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= cut).astype(np.int32))], [*b.schema.names, "toxicity", "toxic"])
+            found = np.array(scores, float)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found), pa.array((found >= cut).astype(np.int32))], [*b.schema.names, score, flag])
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("toxicity", "toxic")]
-    return docs.drop("toxicity", "toxic").mapInArrow(run, ", ".join([*kept, "toxicity double, toxic int"]))
+    kept = docs.drop(score, flag)
+    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{score}` double, `{flag}` int"]))
 
 
 def held_out_model(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
