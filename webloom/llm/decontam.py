@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import few_texts, row_key, staged, table
+from webloom.llm.common import few_texts, free_names, row_key, staged, table
 
 #: An overlap counts if in some stretch of so many words (or the whole item, if shorter) this share agrees.
 STRETCH, AGREE = 13, 0.8
@@ -188,8 +188,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that overlap with no item of ``benchmark``, with all their columns; null and empty texts stay."""
-    found = overlaps(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (row_key(F.col("text")) == F.col("__key")), "left_anti")
+    own_id, own_key = free_names(docs, "_id", "_key")
+    found = overlaps(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(own_id)) & (row_key(F.col("text")) == F.col(own_key)), "left_anti")
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
