@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import few_texts, staged, table
+from webloom.llm.common import few_texts, row_key, staged, table
 
 #: Fingerprints with at most so many differing bits are linked. The balls below are those of this radius.
 RADIUS = 3
@@ -45,15 +45,15 @@ def simhash(raw: bytes, width: int = 3) -> int:
 
 
 def with_simhash(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a long) of every row of ``docs``; a null text counts as empty."""
+    """doc_id, text_key and fingerprint (the 64 bits as a long) of every row of ``docs``; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few_texts(batches):
             prints = np.array([simhash((t.as_py() or "").encode(), width) for t in b.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(prints.view(np.int64))], ["doc_id", "text_key", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint long")
+    return docs.select("doc_id", row_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, text_key long, fingerprint long")
 
 
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, text_key, fingerprint (16 hexadecimal digits) and component_id of every row of ``docs`` (doc_id, text).
 
     Fingerprints are made per row and compared once for each distinct one, so groups of exact copies of any size cost
     one row. component_id is the smallest doc_id that links reach, itself included.
@@ -188,7 +188,7 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = named.join(lows, "root").select(F.col("fp").alias("fingerprint"), "component_id")
-    return made.join(ids, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    return made.join(ids, "fingerprint").select("doc_id", "text_key", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def shingle_set(raw: bytes, width: int = WIDE) -> np.ndarray:
@@ -379,7 +379,7 @@ def _lows(edges: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id of every row of ``docs`` (doc_id, text): SimHash groups, joined on by near links.
+    """doc_id, text_key, fingerprint and component_id of every row of ``docs`` (doc_id, text): SimHash groups, joined on by near links.
 
     SimHash with 64 bits cannot tell a similarity of 0.8 at a radius that balls can cover. So ball hashing groups first, and
     documents of different groups that share a band of least hashes are linked as well, if the similarity of their sets of
@@ -388,16 +388,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     Rows without an id or any word are grouped by their fingerprint alone; rows that share an id are one document, linked if
     any of them is; ties cannot arise; an empty table gives an empty result; other columns are ignored.
     """
-    groups = staged(near_groups(docs).select("doc_id", "component_id"), "near-groups")
-    bands = staged(with_bands(docs).join(groups.where("doc_id is not null").distinct(), "doc_id"), "near-bands")
+    groups = staged(near_groups(docs), "near-groups")
+    bands = staged(with_bands(docs).join(groups.where("doc_id is not null").select("doc_id", "component_id").distinct(), "doc_id"), "near-bands")
     heads = bands.groupBy("whole", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("component_id", "keys"), "doc_id").alias("of"))
     heads = staged(heads.select("whole", "n", "doc_id", "of.*"), "near-heads")
     linked = bands.select("whole", "n", "component_id").distinct().join(heads.select("whole", "n", F.col("doc_id").alias("a")), ["whole", "n"])
     edges = staged(linked.select("a", F.col("component_id").alias("b")).where("a <> b").distinct().unionByName(near_links(docs, heads)), "near-edges")
     now = heads.join(_lows(edges), "component_id", "left").withColumn("component_id", F.coalesce("low", "component_id")).select("doc_id", "component_id", "keys")
     low = _lows(edges.unionByName(crowded_links(docs, staged(now, "near-now"))))
-    return groups.join(low, "component_id", "left").select("doc_id", F.coalesce("low", "component_id").alias("component_id"))
+    return groups.join(low, "component_id", "left").select("doc_id", "text_key", "fingerprint", F.coalesce("low", "component_id").alias("component_id"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents")).drop("text_key")
