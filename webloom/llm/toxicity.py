@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import few_texts, fold, staged, table
+from webloom.llm.common import few_texts, fold, small_side, staged, table
 
 #: Training rows at most, about: confirmed toxic ones, and unlabelled ones. A hash of the row picks them.
 POSITIVES, UNLABELLED = 4000, 10_000
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, *, prior: float | None = None) ->
     prior = min(0.9, max(0.005, seen[1] / seen[0])) if prior is None else prior
     draw = lambda *of: F.pmod(F.xxhash64(*of, F.lit(7)), F.lit(1 << 30)) / (1 << 30)
     toxic = marks.where("toxic >= 1").where(draw("doc_id") < POSITIVES / seen[1]).select("doc_id")
-    positive = docs.join(toxic, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("text", F.lit(1).alias("toxic"))
+    positive = docs.join(small_side(toxic, 4 * POSITIVES), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("text", F.lit(1).alias("toxic"))
     unlabelled = docs.where(draw("doc_id", "text") < UNLABELLED / rows).dropDuplicates(["doc_id", "text"]).select("text", F.lit(0).alias("toxic"))
     sample = staged(_with_features(positive.unionByName(unlabelled)), "toxicity-sample")
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
