@@ -102,11 +102,11 @@ def _rank(kind: str, doc_id: Column) -> Column:
     return doc_id.cast("double")
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, carried: list[str], ties: list[str] | None = None) -> DataFrame:
     """``docs`` with next_<column> for each of ``carried``: the values of the row that follows by ascending doc_id.
 
-    The last row is followed by the first; null ids come last; rows of one id, or of none, follow by a hash of their
-    carried values. Ids are dealt to blocks by their quantiles (numbers, dates and strings alike, however far apart),
+    The last row is followed by the first; null ids come last; rows of one id, or of none, follow by a hash of
+    ``ties`` (of what is carried, unless given). Ids are dealt to blocks by their quantiles (numbers, dates and strings alike, however far apart),
     null ids by that hash, and the first row of each block is also sent to the block before it, so blocks are sorted
     apart and each text is shuffled once. Only one row per block, of which there are at most ``MOST_BLOCKS``, is ever in
     one place. Columns of ``docs`` keep their names and values, but for columns that are called next_<column> already:
@@ -133,7 +133,7 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
 
     named = F.aggregate(steps, F.lit(0), further) if bounds else F.lit(0)
     unnamed = min(MOST_BLOCKS, lost // BLOCK_DOCS) + 1
-    keyed = docs.withColumn(tie, F.xxhash64(*carried))
+    keyed = docs.withColumn(tie, F.xxhash64(*(ties or carried)))
     keyed = keyed.withColumn(block, F.when(F.col("doc_id").isNotNull(), named).otherwise((F.shiftrightunsigned(F.col(tie).bitwiseXOR(F.lit(-(1 << 63))), 40) * unnamed / (1 << 24)).cast("int") + len(bounds) + 1))
     used = Window.orderBy("b_")
     heads = keyed.groupBy(F.col(block).alias("b_")).agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col(tie).alias("tie"))).alias("h"))
@@ -152,7 +152,7 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(fingerprint(docs, F.col("text"), "fingerprint"), ["text", "fingerprint"])
+    docs = with_next(fingerprint(docs, F.col("text"), "fingerprint"), ["text", "fingerprint"], ["text"])
     n = F.length("text")
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("next_text"), F.lit(1), tail))
