@@ -82,8 +82,13 @@ def idx_tokenize_stopped(s, d):
 
 @query(None)
 def idx_stemmed(s, d):
-    p = retrieval.postings(_docs(s, d), tx.tokens_ascii(F.col("text"), STOP_EN))
-    return p.groupBy("doc_id", stem_en("token").alias("token")).agg(F.sum("tf").alias("tf"))
+    return retrieval.stemmed(retrieval.postings(_docs(s, d), tx.tokens_ascii(F.col("text"), STOP_EN)), stem_en)
+
+
+@query(f"with {TOKENS}, n as (select count(*) as n from documents), st as (select token, count(*) as df, round(any_value(n) / count(*), 6) as idf from postings, n group by token order by token limit 100) select token, df, idf from st order by idf desc, token")
+def idx_first_tokens_by_idf(s, d):
+    stats = retrieval.token_stats(_post(s, d), _docs(s, d).count()).select("token", "df", r6("idf").alias("idf"))
+    return stats.orderBy("token").limit(100).orderBy(F.desc("idf"), "token")
 
 
 @query(f"with {UNICODE}, v as (select distinct token from upostings) select count(*) as total, count(*) filter (where regexp_full_match(token, '[a-zæøå-]+')) as letters_dash, count(*) filter (where regexp_full_match(token, '[a-z]+')) as letters, count(*) filter (where regexp_full_match(token, '[a-z0-9]+')) as alnum from v")
@@ -210,6 +215,24 @@ def dup_dispatch(s, d):
     return _pairs(s, d).select("a", r6(tx.near_dup_score(F.col("ta"), F.col("tb"))).alias("score"))
 
 
+@query(PAIR + f", k as (select a, {_sketch_sql('sa')} as x, {_sketch_sql('sb')} as y from p) select a, round(len(list_filter(x, lambda v: list_contains(y, v))) / 3, 6) as contained from k")
+def dup_sketch_contained(s, d):
+    sh = lambda c: tx.sketch(tx.shingles_tail(F.col(c), 3))
+    return _pairs(s, d).select("a", r6(tx.sketch_contained(sh("ta"), sh("tb"))).alias("contained"))
+
+
+@query(SQL["dup_jaccard_hashed32"].replace("select a, round(", "select a, (").replace(", 6) as jaccard", ") >= 0.9 as near"))
+def dup_decision(s, d):
+    h = lambda c: F.transform(tx.shingles_tail(F.col(c), 2), tx.hash32)
+    return _pairs(s, d).select("a", (tx.jaccard(h("ta"), h("tb")) >= 0.9).alias("near"))
+
+
+@query("select doc_id, regexp_replace(to_base64(unhex(sha1(text))), '[^A-Za-z0-9]', '', 'g') as sha1, '0' as constant, (case when ('0x' || md5(text)[:8])::bigint >= 2147483648 then ('0x' || md5(text)[:8])::bigint - 4294967296 else ('0x' || md5(text)[:8])::bigint end)::int as code from documents")
+def dup_text_hashes(s, d):
+    constant = tx.sketch(F.array("text"), legacy_constant_hash=True)[2]
+    return _docs(s, d).select("doc_id", tx.sha1_alnum(F.col("text")).alias("sha1"), constant.alias("constant"), tx.hash_code(F.col("text")).alias("code"))
+
+
 @query(f"with {SPLIT} select user_id, round(avg(rating), 6) as mean from train group by 1")
 def rec_user_mean(s, d):
     return recommend.user_mean(views.ratings_split(s, d)[1]).withColumn("mean", r6("mean"))
@@ -268,6 +291,11 @@ def rec_split_allbut(s, d):
     return recommend.split_allbut(views.ratings(s, d), 1, 10)
 
 
+@query(f"with {RATINGS}, n as (select *, row_number() over (partition by user_id order by item_id) as n from ratings) select user_id, item_id, rating, case when n between 2 and 4 and sum(case when n between 2 and 4 then 1 else 0 end) over (order by user_id, item_id) <= 500 then 'test' else 'base' end as part from n")
+def rec_split_capped(s, d):
+    return recommend.split_allbut(views.ratings(s, d), 2, 4, 500)
+
+
 @query(f"with {RATINGS} select *, ceil(row_number() over (order by user_id, item_id) * 5 / count(*) over ())::int as fold from ratings")
 def rec_split_folds(s, d):
     return recommend.split_folds(views.ratings(s, d))
@@ -292,21 +320,39 @@ def _paths(sources: str) -> str:
     return f"""with recursive {EDGES}, sources as ({sources}),
 walk as (select id as source, id, 0 as hops from sources union select source, dst, hops + 1 from walk join edges on src = id where hops < 60),
 best as (select source, id, min(hops) as hops from walk group by 1, 2),
-pred as (select b.source, b.id, min(e.src) as pred from best b join edges e on e.dst = b.id join best p on p.source = b.source and p.id = e.src and p.hops = b.hops - 1 group by 1, 2)
-select source, id, hops, pred from best left join pred using (source, id)"""
+pred as (select b.source, b.id, min(e.src) as pred from best b join edges e on e.dst = b.id join best p on p.source = b.source and p.id = e.src and p.hops = b.hops - 1 group by 1, 2),
+routes as (select id as source, id, id::varchar as route from sources union all select p.source, p.id, r.route || '>' || p.id from routes r join pred p on p.source = r.source and p.pred = r.id)
+select source, id, hops, pred, route from best left join pred using (source, id) join routes using (source, id)"""
+
+
+def _shown(paths: DataFrame) -> DataFrame:
+    return paths.withColumn("route", F.array_join(F.col("route").cast("array<string>"), ">"))
 
 
 @query(_paths("select min(src) as id from edges"))
 def graph_sssp(s, d):
     e = views.social_edges(s, d)
-    return graph.shortest_paths(e, e.agg(F.min("src").alias("id")))
+    return _shown(graph.shortest_paths(e, e.agg(F.min("src").alias("id"))))
+
+
+@query(_paths("select distinct src as id from edges order by src limit 10"))
+def graph_apsp_10(s, d):
+    e = views.social_edges(s, d)
+    return _shown(graph.shortest_paths(e, e.select(F.col("src").alias("id")).distinct().orderBy("id").limit(10)))
+
+
+@query()
+def graph_cheapest(s, d):
+    """Costs from the first vertex by weights of 1 to 3; tests compare with Dijkstra's algorithm."""
+    e = views.social_edges(s, d).withColumn("weight", (1 + (F.col("src") + F.col("dst")) % 3).cast("double"))
+    return graph.cheapest_paths(e, e.agg(F.min("src").alias("id")))
 
 
 @query()
 def graph_apsp(s, d):
     """From every source: a recursive query over whole walks is too slow, so tests compare with breadth-first search."""
     e = views.social_edges(s, d)
-    return graph.shortest_paths(e, e.select(F.col("src").alias("id")).distinct())
+    return graph.shortest_paths(e, e.select(F.col("src").alias("id")).distinct()).drop("route")
 
 
 @query()
@@ -329,9 +375,25 @@ def url_resolve_root(s, d):
     return views.links(s, d)
 
 
-@query()
+@query(f"with {HREFS} select page_id, href, case when regexp_matches(href, '^(?i)[a-z][a-z0-9+.-]*:') then href when href like '//%' then regexp_extract(url, '^([a-z]+:)', 1) || href when href like '/%' then regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href when href = '' then url when href like '#%' then regexp_replace(url, '#.*$', '') || href when href like '?%' then regexp_replace(url, '[?#].*$', '') || href else regexp_extract(url, '^([a-z]+://[^/?#]*/?(?:[^?#/]*/)*)', 1) || href end as target from hrefs")
 def url_join(s, d):
-    return views.hrefs(s, d).select("page_id", "href", urls.url_join("url", "href").alias("to"))
+    return views.hrefs(s, d).select("page_id", "href", urls.url_join("url", "href").alias("target"))
+
+
+WANTED = "(not contains({last}, '.') or regexp_matches({last}, '[.](html|php|htm|asp|aspx)'))".replace("{last}", "regexp_extract({url}, '^[a-z]+://[^/?#]*(?:[^?#]*/)?([^/?#]*)', 1)")
+
+
+@query(f"with {HREFS}, t as (select page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href as href from hrefs where href like '/%') select page_id, href, {WANTED.format(url='href')} as wanted from t")
+def url_wanted(s, d):
+    h = views.hrefs(s, d).where("href like '/%'").select("page_id", urls.resolve_root(F.col("url"), F.col("href")).alias("href"))
+    return h.withColumn("wanted", urls.wanted(F.col("href")))
+
+
+@query("select page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) || regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^#]*)', 1) as url from pages")
+def url_normalize(s, d):
+    port = F.when(urls.scheme(F.col("url")) == "https", F.lit(":443")).otherwise(F.lit(":80"))
+    given = F.concat(F.upper(urls.scheme(F.col("url"))), F.lit("://"), F.upper(urls.authority(F.col("url"))), port, F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*(.*)", 1))
+    return table(s, d, "pages").select("page_id", urls.normalize(given).alias("url"))
 
 
 @query("select page_id, regexp_replace(regexp_replace(url || '?q=1#f', '[?#].*$', ''), ';[^/]*$', '') as url from pages")
@@ -398,12 +460,55 @@ def frontier_schedule(s, d):
     return frontier.schedule(_hosts(s, d).select("host", "url", F.col("page_id").alias("seq")), 3.0)
 
 
-@query(f"with {RULES_SQL}, {LINKS}, {PATHS}, ok as (select page_id, bool_or(kind = 'allow' and starts_with(path, pattern)) or not bool_or(kind = 'disallow' and starts_with(path, pattern)) as allowed from paths, rules group by 1) select dst as url, min(src) as found_on from links join pages on src = url join ok using (page_id) where allowed and dst not in (select url from pages) group by 1")
+@query(f"with {RULES_SQL}, {LINKS}, {PATHS}, ok as (select page_id, bool_or(kind = 'allow' and starts_with(path, pattern)) or not bool_or(kind = 'disallow' and starts_with(path, pattern)) as allowed from paths, rules group by 1) select dst as url, min(src) as found_on from links join pages on src = url join ok using (page_id) where allowed and dst not in (select url from pages) and {WANTED.format(url='dst')} group by 1")
 def crawl_round(s, d):
     pages = table(s, d, "pages")
     return frontier.crawl_round(pages.select("url"), pages.select("url").limit(0), pages, _rules(s, d))
 
 
+def _visited(s, d):
+    per = _hosts(s, d).groupBy("host").agg(F.count("*").alias("queued"), F.max("page_id").cast("double").alias("last_visited"))
+    return frontier.host_ids(_hosts(s, d)).join(per, "host").select("id", "host", "queued", "last_visited")
+
+
+VISITED = f"visited as (select (row_number() over (order by host) - 1)::int as id, host, count(*) as queued, max(page_id)::double as last_visited from (select *, {HOST} as host from pages) group by host)"
+
+
+@query(f"with {VISITED} select *, 100.0 > last_visited + 3.0 as ready from visited")
+def frontier_ready(s, d):
+    return frontier.ready(_visited(s, d), 100.0, 3.0)
+
+
+@query(f"with {VISITED} select *, 100.0 > last_visited + 3.0 as ready from visited order by ready desc, id limit 1")
+def frontier_next_host(s, d):
+    return frontier.next_host(frontier.ready(_visited(s, d), 100.0, 3.0))
+
+
+@query(f"with {VISITED}, o as (select *, (('0x' || md5(host)[:8])::bigint % 4)::int as client from visited) select host, client, last_visited + 3.0 as next_access, (row_number() over (partition by client order by last_visited, host))::int as rank from o")
+def frontier_order(s, d):
+    return frontier.by_next_access(frontier.owners(_visited(s, d), 4), 3.0).select("host", "client", "next_access", "rank")
+
+
+@query(f"with m as (select {HOST} as host, url, page_id as seq from pages order by page_id, url limit 100) select *, (row_number() over (partition by host order by seq, url))::int as place from m")
+def frontier_refill(s, d):
+    return frontier.refill(_hosts(s, d).select("host", "url", F.col("page_id").alias("seq")))
+
+
+@query(f"select count(*) filter (where page_id % 2 = 0) as front, count(*) filter (where page_id % 2 = 1) as back, count(distinct case when page_id % 2 = 1 then {HOST} end) as hosts, count(*) filter (where page_id < 10) as crawled from pages")
+def frontier_statistics(s, d):
+    h = _hosts(s, d)
+    return frontier.statistics(h.where("page_id % 2 = 0"), h.where("page_id % 2 = 1"), h.where("page_id < 10"))
+
+
+ROBOTS_TXT = "User-agent: *\r\nDisallow: /en/ # all of it\r\nAllow: /en/6\r\nCrawl-delay: 2\r\n\r\nUser-agent: other\r\nDisallow: /\r\n\r\nUser-agent: third\r\nUser-agent: loombot\r\nDisallow: /fr/8\r\n"
+
+
+@query(f"with {PATHS} select page_id, host, path, starts_with(path, '/en/6') or not (starts_with(path, '/en/') or starts_with(path, '/fr/8')) as allowed, 2.0::double as delay from paths")
+def robots_decide(s, d):
+    files = _hosts(s, d).select("host").distinct().withColumn("robots_txt", F.lit(ROBOTS_TXT))
+    return robots.decide(_page_paths(s, d), files, "Loombot/1.0").select("page_id", "host", "path", "allowed", "delay")
+
+
 @query("select page_id, strlen(html)::int as size, case when strlen(html) > 3000 then 'large' else 'html' end as status from pages")
 def page_admission(s, d):
     return frontier.admission(table(s, d, "pages").select("page_id", F.octet_length("html").alias("size")), 3000)
@@ -423,6 +528,11 @@ def event_rate_windows(s, d):
     return ev.rates(_events(s, d), "1 hour").withColumn("start", F.unix_timestamp("start"))
 
 
+@query("select epoch(time_bucket(interval 1 hour, ts))::bigint as start, count(*) as n from events group by 1 order by 1 desc limit 25")
+def event_last_windows(s, d):
+    return ev.rates(_events(s, d), "1 hour").orderBy(F.desc("start")).limit(25).withColumn("start", F.unix_timestamp("start"))
+
+
 @query("select user_id as client, arg_max(event_type, (ts, event_id)) as type, arg_max(event_type, (ts, event_id)) = 'error' as dead from events group by 1")
 def event_latest_status(s, d):
     return ev.latest(_events(s, d))
@@ -433,6 +543,11 @@ def event_cumulative_rate(s, d):
     return ev.cumulative(_events(s, d)).select(F.unix_timestamp("start").alias("start"), "total", r6("per_second").alias("per_second"))
 
 
-@query()
+HTML_TEXT = "regexp_replace(regexp_replace(html, '" + tx.GONE + "', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+for _name, _char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    HTML_TEXT = f"replace({HTML_TEXT}, '{_name}', '{_char}')"
+
+
+@query(f"select page_id, trim(regexp_replace({HTML_TEXT}, '\\s+', ' ', 'g')) as text from pages")
 def html_text(s, d):
-    return table(s, d, "pages").select("page_id", tx.html_text("html").alias("text"))
+    return table(s, d, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))

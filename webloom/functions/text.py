@@ -75,8 +75,18 @@ FAMILY = {
 
 def sketch(shingles: Column, legacy_constant_hash: bool = False) -> Column:
     """The least hash of a list of shingles under each function of the family."""
-    made = [F.array_min(F.transform(shingles, h)) for h in FAMILY.values()]
-    return F.array(*made[:2], F.lit("0")) if legacy_constant_hash else F.array(*made)
+
+    def least(x: Column) -> Column:
+        made = [F.array_min(F.transform(x, h)) for h in FAMILY.values()]
+        return F.array(*made[:2], F.lit("0")) if legacy_constant_hash else F.array(*made)
+
+    return _once(shingles, least)
+
+
+def hash_code(s: Column) -> Column:
+    """A 32-bit signed hash of a text, the same on every machine."""
+    h = hash32(s)
+    return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h).cast("int")
 
 
 def sketch_equal(a: Column, b: Column) -> Column:
@@ -92,20 +102,28 @@ def sketch_contained(a: Column, b: Column) -> Column:
 
 def near_dup_score(a: Column, b: Column, n: int = 3, short: int = 100) -> Column:
     """Exact Jaccard similarity if ``a`` is shorter than ``short`` characters, else that of the sketches."""
-    x, y = shingles_tail(a, n), shingles_tail(b, n)
-    return F.when(F.length(a) < short, jaccard(x, y)).otherwise(sketch_equal(sketch(x), sketch(y)))
+    both = F.struct(shingles_tail(a, n).alias("x"), shingles_tail(b, n).alias("y"))
+    return _once(both, lambda p: F.when(F.length(a) < short, jaccard(p["x"], p["y"])).otherwise(sketch_equal(sketch(p["x"]), sketch(p["y"]))))
+
+
+#: What a page's text leaves out: comments, and elements whose content is none of it.
+GONE = "(?is)<!--.*?-->|" + "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "form", "embed", "object"))
+
+
+def html_text(page: Column) -> Column:
+    """Text of a page without scripts, styles and comments; tags become spaces. Only pages with character references go to Python."""
+    bare = F.regexp_replace(F.regexp_replace(page, GONE, " "), "<[^>]*>", " ")
+    bare = F.when(F.contains(bare, F.lit("&")), html_unescape(F.when(F.contains(bare, F.lit("&")), bare))).otherwise(bare)
+    return F.regexp_replace(F.regexp_replace(bare, r"[\s\u00a0]+", " "), "^ | $", "")
 
 
 @F.pandas_udf(StringType())
-def html_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Text of a page without scripts, styles and comments; tags become spaces."""
+def html_unescape(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Character references decoded, of which HTML has over two thousand by name."""
     import html
-    import re
 
-    gone = re.compile(r"<!--.*?-->|<(script|style|form|embed|object)\b.*?</\1\s*>", re.S | re.I)
-    tag, space = re.compile(r"<[^>]*>"), re.compile(r"\s+")
-    for s in pages:
-        yield s.map(lambda p: None if p is None else space.sub(" ", html.unescape(tag.sub(" ", gone.sub(" ", p)))).strip())
+    for s in texts:
+        yield s.map(html.unescape, na_action="ignore")
 
 
 @F.pandas_udf(StringType())

@@ -27,9 +27,21 @@ def strip(u: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(u, "[?#].*$", ""), ";[^/]*$", "")
 
 
+#: An anchor up to its href: up to 50 other attributes before it, whose values may be quoted.
+ANCHOR = r"""(?i)<a(?:\s+[^\s=>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?){0,50}?\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def anchors(html: Column) -> Column:
-    """The href of every anchor of a page, in order."""
-    return F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)"""), F.lit(1))
+    """The href of every anchor of a page, in order: quoted or not, the character references of markup decoded."""
+    raw = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
+
+    def plain(v: Column) -> Column:
+        v = F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+            v = F.replace(v, F.lit(name), F.lit(char))
+        return v
+
+    return F.transform(raw, plain)
 
 
 def resolve_root(base: Column, href: Column) -> Column:

@@ -20,6 +20,12 @@ def merge(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
 
 
+def stemmed(p: DataFrame, stem) -> DataFrame:
+    """An index by stems: each distinct token is stemmed once, and joined back."""
+    stems = p.select("token").distinct().withColumn("stem", stem("token"))
+    return p.join(stems, "token").groupBy("doc_id", F.col("stem").alias("token")).agg(F.sum("tf").alias("tf"))
+
+
 def doc_length(p: DataFrame) -> DataFrame:
     return p.groupBy("doc_id").agg(F.sqrt(F.sum(F.pow(1 + F.log10("tf"), 2))).alias("len"))
 

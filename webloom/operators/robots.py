@@ -76,3 +76,18 @@ def segment_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def delays(rules: DataFrame, default: float = 1.0) -> DataFrame:
     return rules.where("kind = 'crawl-delay'").groupBy("host").agg(F.coalesce(F.max(F.expr("try_cast(pattern as double)")), F.lit(default)).alias("delay"))
+
+
+def for_agent(rules: DataFrame, agent: str) -> DataFrame:
+    """The rules that bind an agent: those of all, and those of groups whose name is part of its own, together."""
+    return rules.where((F.col("agent") == "*") | F.contains(F.lit(agent.lower()), F.col("agent")))
+
+
+def decide(urls: DataFrame, files: DataFrame, agent: str, default: float = 1.0) -> DataFrame:
+    """``urls`` (host, path) with allowed and delay for an agent, from ``files`` (host, robots_txt).
+
+    Hosts without a file, or with one that has no rule for the agent, allow everything; the delay is at least the default.
+    """
+    rules = for_agent(parse(files), agent)
+    told = prefix_allowed(urls, rules.where("kind in ('allow', 'disallow')"))
+    return told.join(delays(rules, default), "host", "left").withColumn("delay", F.greatest(F.coalesce("delay", F.lit(default)), F.lit(default)))

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder of spark.checkpoint.dir (a temporary one where that is unset) and read again."""
+    """``df`` written to the folder of spark.checkpoint.dir and read again; where that is unset and the master local, to a temporary one."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="webloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -47,7 +47,10 @@ def hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", F.explode(urls.anchors(F.col("html"))).alias("href"))
 
 
-HREFS = r"""hrefs as (select page_id, url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)', 1)) as href from pages)"""
+_HREF = "case when regexp_matches(h, '^[\"'']') then substr(h, 2, length(h) - 2) else h end"
+_ANCHOR = urls.ANCHOR.replace("'", "''")
+HREFS = f"""raw as (select page_id, url, unnest(regexp_extract_all(html, '{_ANCHOR}', 1)) as h from pages),
+hrefs as (select page_id, url, replace(replace(replace(replace(replace({_HREF}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as href from raw)"""
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
