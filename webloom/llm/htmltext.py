@@ -172,18 +172,8 @@ def _running(part: Node | str) -> bool:
     return isinstance(part, str) or part.out or 2 * part.link_chars <= part.chars
 
 
-def main_text(page: str) -> str:
-    """The main text of a page: its blocks in page order, joined by newlines.
-
-    Every node gets the composite text density of its characters per tag, which falls with the share of characters and
-    tags that are links (Sun, Song and Liao, 2011). The densities of a node's children are summed, and the node with
-    the greatest sum is the core. The main text is all of the article around the core, else of the main element, else of
-    the core, and of every element around that whose other parts are running text too. The least density on the path
-    from there up to the body is the threshold: other children of those ancestors that reach it join the main text.
-    Elements outside the main text stay out wherever they are.
-    """
-    root = parse(page)
-    _leave_out(root)
+def measure(root: Node) -> list[Node]:
+    """All nodes but those outside the main text, each with its characters, tags, those of links, and composite text density."""
     nodes = _order(root)
     for n in reversed(nodes):
         n.chars = n.tags = n.link_chars = n.link_tags = 0
@@ -203,6 +193,22 @@ def main_text(page: str) -> str:
         c, t, lc, lt = n.chars, max(1, n.tags), n.link_chars, n.link_tags
         base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
         n.density = c / t * math.log(c / max(1, lc) * (t / max(1, lt)) + 1) / math.log(max(base, 1.0001) + 1) if c else 0.0
+    return nodes
+
+
+def main_text(page: str) -> str:
+    """The main text of a page: its blocks in page order, joined by newlines.
+
+    Every node gets the composite text density of its characters per tag, which falls with the share of characters and
+    tags that are links (Sun, Song and Liao, 2011). The densities of a node's children are summed, and the node with
+    the greatest sum is the core. The main text is all of the article around the core, else of the main element, else of
+    the core, and of every element around that whose other parts are running text too. The least density on the path
+    from there up to the body is the threshold: other children of those ancestors that reach it join the main text.
+    Elements outside the main text stay out wherever they are.
+    """
+    root = parse(page)
+    _leave_out(root)
+    nodes = measure(root)
     best, most = root, -1.0
     for n in nodes:
         n.total = sum(p.density for p in n.parts if not isinstance(p, str) and not p.out) + n.density * any(isinstance(p, str) and p.strip() for p in n.parts)
