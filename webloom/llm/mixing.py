@@ -51,7 +51,7 @@ def mix(
     ``rows``, also row, a struct of all columns of ``docs``.
 
     Every document is taken floor(target / source_size) times. The fraction that is left is filled with documents
-    in the order of a seeded hash, to the document nearest the target; so a source misses its target by half a
+    in the order of a seeded hash of id and text, to the document nearest the target; so a source misses its target by half a
     document at most, reruns agree, and no document is taken more than ``max_epochs`` (rounded up) times. The hash
     puts the documents of a source in cells; cells are summed first, and only the documents of the cell with the
     cut are sorted, so a source that holds a third of all rows is never gathered in one task.
@@ -60,7 +60,8 @@ def mix(
     empty id; repeated rows are documents of their own; an empty table gives an empty result; other columns are ignored.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 12), 16, 10).cast("long")
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    draw = F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("long")
     wide = docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), draw.alias("draw"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * rows)
     cell = F.shiftright("draw", 48 - CELL_BITS)
     sized = staged(wide.drop("row"), "mix").withColumn("cell", cell)
@@ -93,7 +94,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint as draw
+    ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '') || ':' || coalesce(md5(text), '')), 1, 12))::bigint as draw
   from documents),
 per as (
   select source, sum(size)::bigint as source_size,
