@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.llm import decontam, mixing, secrets, simhash, toxicity
-from webloom.llm.common import free_names, row_key, staged, table
+from webloom.llm.common import free_names, row_key, staged, table, unstage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +82,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to ``documents``; what a stage has written is deleted as soon as the next one has read it."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        unstage(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
