@@ -141,3 +141,29 @@ def test_jaccard_pairs(spark):
     sets = {i: set(w) for i, w in docs}
     want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
     assert got == want
+
+
+def test_global_order_without_one_task(spark):
+    from webloom.plans.numbering import numbered, running_sum
+
+    rows = [(i * 37 % 101, (i * 37 % 101) % 5) for i in range(101)]
+    df = spark.createDataFrame(rows, "k int, c int").repartition(7)
+    got = {r.k: (r.n, r.s) for r in running_sum(numbered(df, ["k"], "n"), ["k"], F.col("c"), "s").collect()}
+    assert got == {k: (k, sum(i % 5 for i in range(k))) for k in range(101)}
+    assert numbered(df.limit(0), ["k"], "n").collect() == []
+    assert sorted((r.k, r.n) for r in numbered(spark.createDataFrame([(None,), (3,), (1,)], "k int"), ["k"], "n").collect() if r.k) == [(1, 1), (3, 2)]
+
+
+def test_order_of_hosts_without_owners(spark):
+    from webloom.operators import frontier
+
+    hosts = spark.createDataFrame([("b", 5.0), ("a", 5.0), ("c", 1.0)], "host string, last_visited double")
+    assert {r.host: (r.next_access, r["rank"]) for r in frontier.by_next_access(hosts, 3.0).collect()} == {"c": (4.0, 1), "a": (8.0, 2), "b": (8.0, 3)}
+
+
+def test_pairs_of_asked_users_only(spark):
+    train = spark.createDataFrame([(u, i, (u * i) % 5 + 1) for u in range(1, 7) for i in range(1, 6)], "user_id int, item_id int, rating int")
+    every = {(r.u, r.v): r.sim for r in recommend.pearson(train).collect()}
+    asked = spark.createDataFrame([(4,), (4,), (6,)], "user_id int")
+    assert all(u < v for u, v in every)
+    assert {(r.u, r.v): r.sim for r in recommend.pearson(train, asked).collect()} == {k: s for k, s in every.items() if {4, 6} & set(k)}

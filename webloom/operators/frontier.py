@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import urls
 from webloom.operators.robots import prefix_allowed
+from webloom.plans.numbering import numbered
 from webloom.plans.stages import staged
 
 #: Bytes of the largest page that is read.
@@ -14,8 +15,8 @@ MOST_BYTES = 10_485_760
 
 
 def host_ids(hosts: DataFrame) -> DataFrame:
-    """(host, id) of distinct hosts, by name; one row per host is numbered."""
-    return hosts.select("host").distinct().withColumn("id", F.row_number().over(Window.orderBy("host")) - 1)
+    """(host, id) of distinct hosts, numbered from 0 by name."""
+    return numbered(hosts.select("host").distinct(), ["host"], "id").withColumn("id", F.col("id").cast("int"))
 
 
 def admission(pages: DataFrame, most: int = MOST_BYTES) -> DataFrame:
@@ -60,8 +61,10 @@ def next_host(hosts: DataFrame) -> DataFrame:
 
 def by_next_access(hosts: DataFrame, delay: float = 1.0) -> DataFrame:
     """``hosts`` (host, last_visited) with rank: the order in which they may be visited, by owner if there is one."""
-    part = ["client"] if "client" in hosts.columns else []
-    return hosts.withColumn("next_access", F.col("last_visited") + delay).withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("next_access", "host")))
+    due = hosts.withColumn("next_access", F.col("last_visited") + delay)
+    if "client" in hosts.columns:
+        return due.withColumn("rank", F.row_number().over(Window.partitionBy("client").orderBy("next_access", "host")))
+    return numbered(due, ["next_access", "host"], "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def refill(front: DataFrame, most: int = 100) -> DataFrame:

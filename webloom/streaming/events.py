@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.plans.numbering import running_sum
+
 
 def transitions(events: DataFrame) -> DataFrame:
     """Events that change their client's type; ties in time go by event_id."""
@@ -50,7 +52,8 @@ def unique_urls_stream(urls: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def cumulative(events: DataFrame, seconds: int = 3600) -> DataFrame:
     """Running total and average per second by window: counts per window first, then a sum over one row per window."""
-    per = rates(events, f"{seconds} seconds")
-    upto = F.sum("n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    since = F.unix_timestamp("start") - F.unix_timestamp(F.min("start").over(Window.partitionBy())) + seconds
-    return per.withColumn("total", upto).withColumn("per_second", F.col("total") / since).drop("n")
+    per = running_sum(rates(events, f"{seconds} seconds"), ["start"], F.col("n"), "before")
+    first = F.broadcast(per.agg(F.min("start").alias("first")))
+    since = F.unix_timestamp("start") - F.unix_timestamp("first") + seconds
+    out = per.crossJoin(first).withColumn("total", F.col("before") + F.col("n"))
+    return out.select("start", "total", (F.col("total") / since).alias("per_second"))
