@@ -167,3 +167,47 @@ def test_pairs_of_asked_users_only(spark):
     asked = spark.createDataFrame([(4,), (4,), (6,)], "user_id int")
     assert all(u < v for u, v in every)
     assert {(r.u, r.v): r.sim for r in recommend.pearson(train, asked).collect()} == {k: s for k, s in every.items() if {4, 6} & set(k)}
+
+
+def test_power_iteration_agrees_with_dense(spark):
+    path = [(1, 2), (2, 3), (3, 4), (90, 91)]  # a path of four vertices, and a smaller component
+    edges = spark.createDataFrame(path, "src long, dst long")
+    dense = {r.id: r.coordinate for r in graph.fiedler(edges).collect()}
+    power = {r.id: r.coordinate for r in graph.fiedler(edges, dense=0, rounds=40, tolerance=1e-4).collect()}
+    assert set(dense) == set(power) == {1, 2, 3, 4}
+    sign = 1 if dense[1] * power[1] > 0 else -1  # the ends of the path are alike in size
+    assert all(abs(dense[i] - sign * power[i]) < 1e-3 for i in dense)
+
+
+def test_treebank_tokens(spark):
+    cases = {
+        'They\'ll say "it\'s" (not) theirs, won\'t they?': "They 'll say `` it 's '' ( not ) theirs , wo n't they ?",
+        "Good muffins cost $3.88 in New York.": "Good muffins cost $ 3.88 in New York .",
+        "I cannot cannot, gimme 1,000 -- 'Tis gonna end...": "I can not can not , gim me 1,000 -- 'T is gon na end ...",
+        "  the dogs' food: x:y 12:30 ": "the dogs ' food : x : y 12:30",
+        "": "",
+    }
+    got = spark.createDataFrame([(t, w) for t, w in cases.items()], "t string, w string").select("w", F.array_join(text.tokens_treebank(F.col("t")), " ").alias("g")).collect()
+    assert [(r.w, r.g) for r in got] == [(r.w, r.w) for r in got]
+    stopped = spark.createDataFrame([("the cat",), (None,)], "t string").select(text.tokens_treebank(F.col("t"), ("the",))).collect()
+    assert [r[0] for r in stopped] == [["cat"], None]
+
+
+def test_forms_of_boolean_search(spark):
+    from webloom.operators import retrieval
+
+    p = retrieval.ascii_postings(spark.createDataFrame([(1, "apple banana"), (2, "banana cherry"), (3, "apple")], "doc_id long, text string"))
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    apple, banana = retrieval.docs_with(p, "apple"), retrieval.docs_with(p, "banana")
+    for a in ("apple", apple):
+        for b in ("banana", banana):
+            assert ids(retrieval.bool_and(a, b, p)) == [1] and ids(retrieval.bool_or(a, b, p)) == [1, 2, 3]
+    assert ids(retrieval.bool_or("apple", "zebra", p)) == [] and ids(retrieval.bool_and("apple", "zebra", p)) == []
+
+
+def test_where_or_parts_a_query():
+    from webloom.operators import retrieval
+
+    assert retrieval.split_query("FORD cars OR boats") == [["ford", "cars"], ["boats"]]
+    assert retrieval.split_query("FORD cars OR boats", legacy_or=True) == [["f"], ["d", "cars"], ["boats"]]
+    assert retrieval.split_query("Or and or") == [["or", "and", "or"]]

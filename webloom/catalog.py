@@ -12,6 +12,7 @@ from webloom.functions import urls
 from webloom.functions.stem import STOP_DA, STOP_EN, stem_en
 from webloom.operators import frontier, graph, neardup, recommend, retrieval, robots
 from webloom.plans import views
+from webloom.plans.stages import staged
 from webloom.plans.views import EDGES, HOST, HREFS, LINKS, RATINGS, SPLIT, TOKENS, table
 from webloom.streaming import events as ev
 
@@ -80,9 +81,19 @@ def idx_tokenize_stopped(s, d):
     return retrieval.postings(_docs(s, d), tx.tokens_unicode(F.col("text"), STOP_DA))
 
 
+TREEBANK = "text"
+for _pattern, _put in tx.TREEBANK:
+    TREEBANK = "regexp_replace({}, '{}', '{}', 'g')".format(TREEBANK, _pattern.replace("'", "''"), _put.replace("'", "''").replace("$", "\\"))
+
+
+@query(f"with t as (select doc_id, unnest(string_split({TREEBANK}, ' ')) as token from documents) select doc_id, token, count(*) as tf from t where token <> '' group by 1, 2")
+def idx_treebank(s, d):
+    return retrieval.postings(_docs(s, d), tx.tokens_treebank(F.col("text")))
+
+
 @query(None)
 def idx_stemmed(s, d):
-    return retrieval.stemmed(retrieval.postings(_docs(s, d), tx.tokens_ascii(F.col("text"), STOP_EN)), stem_en)
+    return retrieval.stemmed(retrieval.postings(_docs(s, d), tx.tokens_treebank(tx.clean_text(F.col("text")), STOP_EN)), stem_en)
 
 
 @query(f"with {TOKENS}, n as (select count(*) as n from documents), st as (select token, count(*) as df, round(any_value(n) / count(*), 6) as idf from postings, n group by token order by token limit 100) select token, df, idf from st order by idf desc, token")
@@ -184,6 +195,13 @@ def _pairs(s, d):
     return a.join(a.select((F.col("a") - 1).alias("a"), F.col("ta").alias("tb")), "a")
 
 
+def _sketched(s, d):
+    """Neighbouring texts with their sketches, each made once: written before the pairs are formed."""
+    k = staged(_docs(s, d).select("doc_id", "text", tx.sketch(tx.shingles_tail(F.col("text"), 3)).alias("k")), "sketches")
+    a = k.toDF("a", "ta", "ka")
+    return a.join(k.select((F.col("doc_id") - 1).alias("a"), F.col("text").alias("tb"), F.col("k").alias("kb")), "a")
+
+
 PAIR = f"with {TAIL}, p as (select x.doc_id as a, x.text as ta, x.s as sa, y.s as sb from sh x join sh y on y.doc_id = x.doc_id + 1)"
 SHORT = "(len(list_intersect(list_distinct(sa), list_distinct(sb))) / nullif(len(list_distinct(list_concat(sa, sb))), 0))"
 
@@ -206,19 +224,18 @@ def dup_minhash_sketch(s, d):
 
 @query(PAIR + f", k as (select a, {_sketch_sql('sa')} as x, {_sketch_sql('sb')} as y from p) select a, round((case when x[1] = y[1] then 1 else 0 end + case when x[2] = y[2] then 1 else 0 end + case when x[3] = y[3] then 1 else 0 end) / 3, 6) as likeness from k")
 def dup_sketch_similarity(s, d):
-    sh = lambda c: tx.sketch(tx.shingles_tail(F.col(c), 3))
-    return _pairs(s, d).select("a", r6(tx.sketch_equal(sh("ta"), sh("tb"))).alias("likeness"))
+    return _sketched(s, d).select("a", r6(tx.sketch_equal(F.col("ka"), F.col("kb"))).alias("likeness"))
 
 
 @query(PAIR + f", k as (select a, ta, sa, sb, {_sketch_sql('sa')} as x, {_sketch_sql('sb')} as y from p) select a, round(case when length(ta) < 100 then {SHORT} else (case when x[1] = y[1] then 1 else 0 end + case when x[2] = y[2] then 1 else 0 end + case when x[3] = y[3] then 1 else 0 end) / 3 end, 6) as score from k")
 def dup_dispatch(s, d):
-    return _pairs(s, d).select("a", r6(tx.near_dup_score(F.col("ta"), F.col("tb"))).alias("score"))
+    score = tx.near_dup_score(F.col("ta"), F.col("tb"), sketches=(F.col("ka"), F.col("kb")))
+    return _sketched(s, d).select("a", r6(score).alias("score"))
 
 
 @query(PAIR + f", k as (select a, {_sketch_sql('sa')} as x, {_sketch_sql('sb')} as y from p) select a, round(len(list_filter(x, lambda v: list_contains(y, v))) / 3, 6) as contained from k")
 def dup_sketch_contained(s, d):
-    sh = lambda c: tx.sketch(tx.shingles_tail(F.col(c), 3))
-    return _pairs(s, d).select("a", r6(tx.sketch_contained(sh("ta"), sh("tb"))).alias("contained"))
+    return _sketched(s, d).select("a", r6(tx.sketch_contained(F.col("ka"), F.col("kb"))).alias("contained"))
 
 
 @query(SQL["dup_jaccard_hashed32"].replace("select a, round(", "select a, (").replace(", 6) as jaccard", ") >= 0.9 as near"))

@@ -30,6 +30,44 @@ def words(t: Column) -> Column:
     return F.filter(F.split(F.trim(t), r"\s+"), lambda w: w != "")
 
 
+#: The rules of the Penn Treebank's published tokenizer script, in its order; commas and colons stay inside numbers. Fixed values.
+TREEBANK = (
+    (r"[\s\x0B]+", " "),
+    (r'^"', "`` "),
+    (r'([ (\[{<])"', "$1 `` "),
+    (r"\.\.\.", " ... "),
+    (r"([:,])([^0-9])", " $1 $2"),
+    (r"([:,])\z", " $1 "),
+    (r"[;@#$%&]", " $0 "),
+    (r"([^.])\.([\])}>\"']*) ?\z", "$1 .$2 "),
+    (r"[?!]", " $0 "),
+    (r"[\]\[(){}<>]", " $0 "),
+    (r"--", " -- "),
+    (r"\A|\z", " "),
+    (r'"', " '' "),
+    (r"([^'])' ", "$1 ' "),
+    (r"'([sSmMdD]) ", " '$1 "),
+    (r"'(ll|LL|re|RE|ve|VE) ", " '$1 "),
+    (r"(n't|N'T) ", " $1 "),
+    (r" ", "  "),
+    (r" ([Cc]an)(not) ", " $1 $2 "),
+    (r" ([Dd]')(ye) ", " $1 $2 "),
+    (r" ([Gg]im|[Ll]em)(me) ", " $1 $2 "),
+    (r" ([Gg]on|[Ww]an)(na) ", " $1 $2 "),
+    (r" ([Gg]ot)(ta) ", " $1 $2 "),
+    (r" ([Mm]ore)('n) ", " $1 $2 "),
+    (r" ('[Tt])(is|was) ", " $1 $2 "),
+)
+
+
+def tokens_treebank(t: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Words, marks and the parts of contractions by the rules of the Penn Treebank; the text is taken as one sentence."""
+    for pattern, put in TREEBANK:
+        t = F.regexp_replace(t, pattern, put)
+    parts = F.split(t, " ")
+    return F.filter(parts, lambda w: (w != "") & ~w.isin(*stop)) if stop else F.filter(parts, lambda w: w != "")
+
+
 def _once(x: Column, f) -> Column:
     """f(x), where f has x in a lambda: as the one element of an array it is computed once, not for each step."""
     return F.element_at(F.transform(F.array(x), f), 1)
@@ -100,10 +138,13 @@ def sketch_contained(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.filter(a, lambda x: F.array_contains(b, x))), F.size(a))
 
 
-def near_dup_score(a: Column, b: Column, n: int = 3, short: int = 100) -> Column:
-    """Exact Jaccard similarity if ``a`` is shorter than ``short`` characters, else that of the sketches."""
+def near_dup_score(a: Column, b: Column, n: int = 3, short: int = 100, sketches: tuple[Column, Column] | None = None) -> Column:
+    """Exact Jaccard similarity if ``a`` is shorter than ``short`` characters, else that of the sketches, which may be given."""
+    brief = F.length(a) < short
+    if sketches:
+        return F.when(brief, jaccard(shingles_tail(a, n), shingles_tail(b, n))).otherwise(sketch_equal(*sketches))
     both = F.struct(shingles_tail(a, n).alias("x"), shingles_tail(b, n).alias("y"))
-    return _once(both, lambda p: F.when(F.length(a) < short, jaccard(p["x"], p["y"])).otherwise(sketch_equal(sketch(p["x"]), sketch(p["y"]))))
+    return _once(both, lambda p: F.when(brief, jaccard(p["x"], p["y"])).otherwise(sketch_equal(sketch(p["x"]), sketch(p["y"]))))
 
 
 #: What a page's text leaves out: comments, and elements whose content is none of it.

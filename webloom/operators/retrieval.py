@@ -96,12 +96,18 @@ def docs_with(p: DataFrame, word: str) -> DataFrame:
     return p.where(F.col("token") == word).select("doc_id").distinct()
 
 
-def bool_and(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.intersect(b)
+def _documents(p: DataFrame | None, side: DataFrame | str) -> DataFrame:
+    return docs_with(p, side) if isinstance(side, str) else side
 
 
-def bool_or(a: DataFrame, b: DataFrame) -> DataFrame:
+def bool_and(a: DataFrame | str, b: DataFrame | str, p: DataFrame | None = None) -> DataFrame:
+    """Documents of both; either side is a table of documents, or a word of the index ``p``."""
+    return _documents(p, a).intersect(_documents(p, b))
+
+
+def bool_or(a: DataFrame | str, b: DataFrame | str, p: DataFrame | None = None) -> DataFrame:
     """Documents of either; none if one of both is empty, that is if its word is unknown."""
+    a, b = _documents(p, a), _documents(p, b)
     one = lambda x: x.limit(1).select(F.lit(1).alias("_"))
     return a.union(b).distinct().join(F.broadcast(one(a)), how="cross").drop("_").join(F.broadcast(one(b)), how="cross").drop("_")
 
