@@ -2,6 +2,7 @@
 
 import heapq
 import json
+import math
 import random
 
 import numpy as np
@@ -224,3 +225,67 @@ def test_where_or_parts_a_query():
     assert retrieval.split_query("FORD cars OR boats") == [["ford", "cars"], ["boats"]]
     assert retrieval.split_query("FORD cars OR boats", legacy_or=True) == [["f"], ["d", "cars"], ["boats"]]
     assert retrieval.split_query("Or and or") == [["or", "and", "or"]]
+
+
+def _ratings(kind, users=40, items=25):
+    rng = random.Random(kind)
+    value = {"few": lambda: rng.randrange(1, 6), "signed": lambda: rng.randrange(-9, 10), "large": lambda: rng.randrange(100_000), "null": lambda: rng.choice([1, 2, 3, 5, None])}[kind]
+    return {(u, i): value() for u in range(users) for i in range(items) if rng.random() < (0.3 if u % 3 else 0.6)}
+
+
+def _likeness(found, max_r_p=False):
+    """Plain correlations in millionths by pairs of users."""
+    by = {}
+    for (u, i), r in found.items():
+        by.setdefault(u, {})[i] = r
+    out = {}
+    for u in by:
+        for v in by:
+            common = by[u].keys() & by[v].keys()
+            if u < v and common:
+                a, b = (np.array([by[w][i] or 0 for i in sorted(common)], dtype=np.int64) for w in (u, v))
+                n, both = len(common), sum((by[u][i] or 0) * (by[v][i] or 0) for i in common)
+                low = float(n * (a * a).sum() - a.sum() ** 2) ** 0.5 * float(n * (b * b).sum() - b.sum() ** 2) ** 0.5
+                if low:
+                    out[u, v] = (n, (n * both - int(a.sum()) * int(b.sum())) / low)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["few", "signed", "large", "null"])
+@pytest.mark.parametrize("entries", [1 << 21, 50])
+def test_tiles_of_pairs(spark, kind, entries, monkeypatch):
+    from webloom.operators import tiles
+
+    monkeypatch.setattr(tiles, "ENTRIES", entries)
+    monkeypatch.setattr(tiles, "WIDE", 3)
+    found = _ratings(kind)
+    train = spark.createDataFrame([(u, i, r) for (u, i), r in found.items()], "user_id int, item_id int, rating int")
+    made = recommend.pearson(train)
+    plan = made._jdf.queryExecution().toString()
+    assert "hashpartitioning(u#" not in plan  # no shuffle has a row for each pair of users and item
+    want = _likeness(found)
+    got = {(r.u, r.v): (r.n, r.sim) for r in made.collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - r) < 1e-6 for k, (n, r) in want.items())
+    p = recommend.pearson(train, similarity="max_r_p").join(made.withColumnRenamed("sim", "r"), ["u", "v", "n"]).withColumn("p", F.greatest("r", recommend.p_value("r", "n")))
+    assert all(abs(r.sim - r.p) < 2e-6 for r in p.collect()) and p.count() == len(want)
+
+
+@pytest.mark.parametrize(("kind", "k"), [("few", 3), ("large", 40), ("null", 4)])
+def test_tiles_of_neighbours(spark, kind, k, monkeypatch):
+    from webloom.operators import tiles
+
+    monkeypatch.setattr(tiles, "WIDE", 3)
+    found = _ratings(kind)
+    rows = [(u, i, r) for (u, i), r in found.items()]
+    train = spark.createDataFrame([x for x in rows if (x[0] * 7 + x[1]) % 5], "user_id int, item_id int, rating int")
+    test = spark.createDataFrame([x for x in rows if not (x[0] * 7 + x[1]) % 5] + [(99, 1, 2), (1, 99, 2)], "user_id int, item_id int, rating int")
+    sim = recommend.pearson(train)
+    made = recommend.nearest(test, train, k)
+    assert "hashpartitioning(lo#" not in made._jdf.queryExecution().toString()
+    cols = ["user_id", "item_id", "v", "sim", "rating", "rank"]
+    shown = lambda df: sorted(map(tuple, df.select(*cols).collect()), key=repr)
+    assert shown(made) == shown(recommend.neighbours(test, train, sim, k))
+    for threshold in (0.5, -0.2):
+        near = {(r.user_id, r.item_id): r.pred for r in recommend.predict_nearest(test, train, k, threshold).collect()}
+        plain = {(r.user_id, r.item_id): r.pred for r in recommend.predict(test, train, sim, k, threshold).collect()}
+        assert near.keys() == plain.keys() and (kind == "null" or all(math.isclose(near[x], plain[x], abs_tol=1e-9) for x in plain))
