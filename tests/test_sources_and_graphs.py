@@ -289,3 +289,16 @@ def test_tiles_of_neighbours(spark, kind, k, monkeypatch):
         near = {(r.user_id, r.item_id): r.pred for r in recommend.predict_nearest(test, train, k, threshold).collect()}
         plain = {(r.user_id, r.item_id): r.pred for r in recommend.predict(test, train, sim, k, threshold).collect()}
         assert near.keys() == plain.keys() and (kind == "null" or all(math.isclose(near[x], plain[x], abs_tol=1e-9) for x in plain))
+
+
+def test_all_hops_equal_paths_by_joins(spark):
+    rng = random.Random(5)
+    links = {(rng.randrange(60), rng.randrange(60)) for _ in range(110)}
+    edges = spark.createDataFrame([(a, b) for a, b in links if a != b], "src long, dst long")
+    sources = spark.createDataFrame([(i,) for i in [*range(0, 60, 2), 777]], "id long")  # the last has no edge
+    want = sorted(map(tuple, graph.shortest_paths(edges, sources).drop("route").collect()), key=repr)
+    made = graph.all_hops(edges, sources)
+    assert "paths-" not in "".join(made.inputFiles())  # no round is written
+    assert sorted(map(tuple, made.collect()), key=repr) == want
+    assert sorted(map(tuple, graph.all_hops(edges, sources, in_memory=1).collect()), key=repr) == want
+    assert {r.id for r in graph.all_hops(edges.limit(0), sources).collect()} == {r.id for r in sources.collect()}
