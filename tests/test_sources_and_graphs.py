@@ -302,3 +302,23 @@ def test_all_hops_equal_paths_by_joins(spark):
     assert sorted(map(tuple, made.collect()), key=repr) == want
     assert sorted(map(tuple, graph.all_hops(edges, sources, in_memory=1).collect()), key=repr) == want
     assert {r.id for r in graph.all_hops(edges.limit(0), sources).collect()} == {r.id for r in sources.collect()}
+
+
+def test_lanczos_agrees_with_dense():
+    rng = np.random.default_rng(3)
+    for n, extra in ((3, 0), (400, 0), (900, 700)):  # a path of three, trees and graphs with long tails
+        links = {(v, int(rng.integers(max(0, v - 20), v))) for v in range(1, n)} | {(int(a), int(b)) for a, b in rng.integers(0, n, (extra, 2)) if a > b}
+        i, j = np.array([*links, *((b, a) for a, b in links)]).T
+        m = np.zeros((n, n))
+        m[i, j] = -1
+        np.fill_diagonal(m, -m.sum(1))
+        values, vectors = np.linalg.eigh(m)
+        got = graph.lanczos(i, j, n)
+        assert abs(got @ m @ got - values[1]) < 1e-8 and abs(got @ vectors[:, 1]) > 1 - 1e-6
+
+
+def test_power_iteration_of_graphs_beyond_a_task(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
+    dense, lanczos = ({r.id: abs(r.coordinate) for r in graph.fiedler(edges, dense=d).collect()} for d in (10, 0))
+    power = {r.id: abs(r.coordinate) for r in graph.fiedler(edges, dense=0, rounds=40, tolerance=1e-4, sparse=0).collect()}
+    assert all(abs(dense[i] - lanczos[i]) < 1e-6 and abs(dense[i] - power[i]) < 1e-3 for i in dense)
