@@ -322,3 +322,10 @@ def test_power_iteration_of_graphs_beyond_a_task(spark):
     dense, lanczos = ({r.id: abs(r.coordinate) for r in graph.fiedler(edges, dense=d).collect()} for d in (10, 0))
     power = {r.id: abs(r.coordinate) for r in graph.fiedler(edges, dense=0, rounds=40, tolerance=1e-4, sparse=0).collect()}
     assert all(abs(dense[i] - lanczos[i]) < 1e-6 and abs(dense[i] - power[i]) < 1e-3 for i in dense)
+
+
+def test_p_values_of_tiles():
+    from webloom.operators import tiles
+
+    assert tiles.p_values(np.array([0.5, 1.0, 0.4, 0.4]), np.array([3, 8, 2, 1]))[:3].round(9).tolist() == [round(2 / 3, 9), 0.0, 1.0]
+    assert np.isnan(tiles.p_values(np.array([0.4]), np.array([1]))[0])
