@@ -270,6 +270,31 @@ def test_tiles_of_pairs(spark, kind, entries, monkeypatch):
     assert all(abs(r.sim - r.p) < 2e-6 for r in p.collect()) and p.count() == len(want)
 
 
+def test_tiles_of_halves_hold_no_earlier_block(spark, monkeypatch):
+    from webloom.operators import tiles
+
+    monkeypatch.setattr(tiles, "FINE", 8)
+    train = spark.createDataFrame([(u, i, 1 + (u * i) % 5) for u in range(24) for i in range(6)], "user_id int, item_id int, rating int")
+    rows = tiles.tiles(train, half=True).collect()
+    first = {b: min(u for r in rows if r.ub == b for u in r.u) for b in {r.ub for r in rows}}
+    assert len(first) > 4 and all(min(r.v) >= first[r.ub] for r in rows)
+
+
+@pytest.mark.parametrize("entries", [1 << 21, 1])
+def test_cells_of_tiles_share_two_items(entries, monkeypatch):
+    import pyarrow as pa
+
+    from webloom.operators import tiles
+
+    monkeypatch.setattr(tiles, "ENTRIES", entries)
+    for far in ([], list(range(10, 60))):  # with few others by their sums, with many by their keys
+        l = [[1, 2], [1, 2], [1, 3, *far]]
+        x = [[1 + u % 5 for u in of] for of in l]
+        cols = [pa.array([0] * 3), pa.array([0] * 3), pa.array([7, 8, 9]), pa.array([[1]] * 3), pa.array([[2]] * 3), pa.nulls(3, pa.list_(pa.int64())), pa.array(l), pa.array(x), pa.nulls(3, pa.list_(pa.float64()))]
+        tile = tiles.Tile([pa.RecordBatch.from_arrays(cols, ["ub", "vb", "item_id", "u", "x", "t", "v", "y", "m"])])
+        assert [tile.others[c % tile.wide] for _, _, cells, _ in tile.sums(half=True) for c in cells] == [2]
+
+
 @pytest.mark.parametrize(("kind", "k"), [("few", 3), ("large", 40), ("null", 4)])
 def test_tiles_of_neighbours(spark, kind, k, monkeypatch):
     from webloom.operators import tiles
