@@ -280,6 +280,41 @@ def test_tiles_of_halves_hold_no_earlier_block(spark, monkeypatch):
     assert len(first) > 4 and all(min(r.v) >= first[r.ub] for r in rows)
 
 
+def test_tiles_leave_no_files_of_shuffles(spark):
+    from webloom.operators import tiles
+    from webloom.plans.stages import shuffles_freed, staged
+
+    def files() -> dict[str, int]:
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toList()
+        return {f.getPath(): f.length() for f in map(found.apply, range(found.size())) if "shuffle_" in f.getPath()}
+
+    before, was = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    with shuffles_freed(spark):
+        assert staged(spark.range(20_000).repartition(3), "kept").count() == 20_000
+    train = spark.range(20_000).selectExpr("id % 500 as user_id", "id div 500 as item_id", "cast(1 + id % 5 as int) as rating")
+    made = tiles.tiles(train, half=True)
+    assert sum(size for f, size in files().items() if f not in before) < 5_000  # of a count
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("Exchange hashpartitioning(item_id") <= 2  # the second is the one reused
+
+
+def test_tiles_are_narrow_and_results_are_not(spark):
+    from webloom.operators import tiles
+
+    for far, most, kinds in ((100, 5, ("tinyint", "tinyint")), (1 << 20, 40_000, ("int", "int")), (1 << 40, -129, ("bigint", "smallint"))):
+        rows = [(u, i, most if u == i else (u * i) % 5) for u in (1, 2, 3, far) for i in range(4)]
+        train = spark.createDataFrame(rows, "user_id bigint, item_id int, rating int")
+        kind = {f.name: f.dataType.simpleString() for f in tiles.tiles(train, half=True).schema}
+        assert (kind["v"], kind["y"]) == tuple(f"array<{k}>" for k in kinds)
+        made = recommend.pearson(train)
+        want = _likeness({(u, i): r for u, i, r in rows})
+        assert made.dtypes[:2] == [("u", "bigint"), ("v", "bigint")] and {(r.u, r.v) for r in made.collect()} == want.keys()
+    odd = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 2.0), ("a", 2, 2.0), ("b", 2, 4.0)], "user_id string, item_id int, rating double")
+    assert [tuple(r) for r in recommend.pearson(odd).collect()] == [("a", "b", 2, 1.0)]
+
+
 @pytest.mark.parametrize("entries", [1 << 21, 1])
 def test_cells_of_tiles_share_two_items(entries, monkeypatch):
     import pyarrow as pa
